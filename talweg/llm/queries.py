@@ -26,6 +26,23 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talweg.llm.toxicity import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
+#: Rules of the query op3: fixed values.
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talweg.llm.url_filter import filter_urls
+
+    return filter_urls(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "rule string, verdict string"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talweg.llm.exact_dedup import exact_dedup
 
@@ -41,14 +58,43 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talweg.llm.warc import archive_pages
+
+    back = archive_pages(_table(spark, sf_dir, "pages"))
+    return back.select(
+        F.col("source_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
+    )
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talweg.llm.topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talweg.llm.quality import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, train(docs))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talweg.llm.secrets import scan_secrets
 
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talweg.llm.simhash import near_duplicates
+
+    out = near_duplicates(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op4_exact_dedup, op5_packing, op9_secrets)
+    f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_url_filter, op4_exact_dedup, op5_packing, op6_warc, op7_topk, op8_quality, op9_secrets, op10_simhash)
 }
 
 SQL: dict[str, str] = {
