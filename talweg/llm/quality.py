@@ -24,7 +24,7 @@ from talweg.llm.bpe import slices
 from talweg.llm.linear import apply, bucket, logistic
 
 SAMPLE, FEATURES, ROUNDS = 8000, 1000, 50
-LABELLERS = ("symbols", "token_ends", "capitals", "commonest", "stutter", "lines", "word_length", "sentences")
+LABELLERS = ("symbols", "token_ends", "capitals", "commonest", "stutter", "lines", "distinct", "word_length", "sentences")
 _ENDS = re.compile(r"[^\w\s.,;:?)\]}'\"»”’-]{2,}$")
 _PLAIN = frozenset(".,;:?!'\"-()[]/")
 
@@ -48,6 +48,7 @@ def measures(text: str | None) -> dict[str, float] | None:
         "commonest": max(kinds.values()) / n,
         "stutter": sum(map(str.__eq__, tokens, tokens[1:])) / n,
         "lines": 1 - len(set(lines)) / max(1, len(lines)),
+        "distinct": -len(kinds) / n**0.5,
         "word_length": sum(len(t) * c for t, c in kinds.items()) / n,
         "sentences": sum(c for t, c in kinds.items() if t[-1] in ".?!") / n,
     }
@@ -69,6 +70,7 @@ def votes(m: dict[str, float] | None) -> str:
             between("commonest", 0.2, 0.4, 10),
             between("stutter", 0.05, 0.2, 10),
             between("lines", 0.2, 0.6),
+            between("distinct", -4, -2.5, 30),
             "0" if m["n"] < 10 else "+" if 2 <= m["word_length"] <= 12 else "-",
             "0" if m["n"] < 40 else "+" if 0.005 <= m["sentences"] <= 0.4 else "-",
         )
@@ -85,20 +87,24 @@ def features(text: str | None, m: dict[str, float] | None) -> set[int]:
         shape = "".join("X" if x.isupper() else "x" if x.isalpha() else "9" if x.isdigit() else x for x in t[:40])
         shapes[re.sub(r"(.)\1+", r"\1\1", shape)] += c
     out = {bucket(f"s {s} {step(c / m['n'])}") for s, c in shapes.items() if c * 50 >= m["n"]}
-    out |= {bucket(f"m {k} {step(m[k])}") for k in LABELLERS if k != "word_length"}
+    out |= {bucket(f"m {k} {step(m[k])}") for k in LABELLERS if k not in ("word_length", "distinct")}
+    out.add(bucket(f"d {int(-m['distinct'])}" if m["n"] >= 30 else "d"))
     return out | {bucket(f"l {int(min(m['word_length'], 30))}"), bucket(f"n {int(np.log2(m['n']))}")}
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Share of good documents, and each labeller's chance of each vote for bad and good ones."""
+    """Share of good documents, and each labeller's chance of each vote for bad and good ones.
+
+    Chances are among the votes cast; a labeller that casts none says nothing.
+    """
 
     good: float
     table: np.ndarray  # (labellers, 2, 3): votes -, 0, +
 
     def posterior(self, patterns: list[str]) -> np.ndarray:
         v = _codes(patterns)
-        logs = np.log(self.table)[np.arange(v.shape[1])[None, :], :, v].sum(axis=1)
+        logs = (np.log(self.table)[np.arange(v.shape[1])[None, :], :, v] * (v != 1)[:, :, None]).sum(axis=1)
         logs += np.log([max(1e-9, 1 - self.good), max(1e-9, self.good)])
         return 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -60, 60)))
 
@@ -114,17 +120,20 @@ def _codes(patterns: list[str]) -> np.ndarray:
 
 
 def fit_labels(patterns: list[str], counts: list[int]) -> LabelModel:
-    """Expectation-maximisation over pattern counts, from the majority of votes."""
+    """Expectation-maximisation over pattern counts.
+
+    It starts from the number of bad votes: labellers vote good on most
+    documents, so that one bad vote outweighs several good ones.
+    """
     v, n = _codes(patterns), np.array(counts, float)
-    sums = (v - 1).sum(axis=1)
-    p = np.where((v == 0).sum(axis=1) >= 2, 0.05, np.where(sums > 0, 0.95, np.where(sums < 0, 0.1, 0.6)))
+    p = np.array([0.95, 0.3, 0.05])[np.minimum((v == 0).sum(axis=1), 2)]
     for _ in range(ROUNDS):
         good = float((n * p).sum() / max(n.sum(), 1))
         table = np.empty((v.shape[1], 2, 3))
         for k, w in enumerate((n * (1 - p), n * p)):
             for vote in range(3):
                 table[:, k, vote] = (w[:, None] * (v == vote)).sum(axis=0) + 0.5
-            table[:, k] /= table[:, k].sum(axis=1, keepdims=True)
+            table[:, k] /= table[:, k, ::2].sum(axis=1, keepdims=True)
         model = LabelModel(good, table)
         p = model.posterior(patterns)
     return model
