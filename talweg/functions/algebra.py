@@ -119,7 +119,7 @@ def front_contains(x1: Column, y1: Column, x2: Column, y2: Column, tx: Column, t
 def reach_class(gradient: Column, width: Column, lake: Column, stream: Column, gradient_step: float = 2.0, width_step: float = 2.0, widest: float = 1000.0) -> Column:
     """Class code of a stream cell; a missing gradient or width falls into class 0 of its breaks."""
     g = F.coalesce(digitize(gradient, [gradient_step * i for i in range(math.ceil(90 / gradient_step))]), F.lit(0))
-    w = F.coalesce(F.when(width < 0, 0).otherwise(F.least(F.floor(width / width_step) + 1, F.lit(math.ceil(widest / width_step)))).cast("long"), F.lit(0))
+    w = F.coalesce(F.when(width < 0, 0).when(width.isNotNull(), F.least(F.floor(width / width_step) + 1, F.lit(math.ceil(widest / width_step)))).cast("long"), F.lit(0))
     return class_code(stream, w, g, F.coalesce(lake.cast("int"), F.lit(0)))
 
 

@@ -233,8 +233,9 @@ def upstream_stats(values: DataFrame, streams: DataFrame, direction: DataFrame,
         front = cut(front.join(steps, F.col("id") == F.col("at")).select("inlet", F.col("to").alias("id"), (F.col("along") + F.col("step")).alias("along")))
         paths = cut(paths.unionByName(front))
     v = values.select(_id().alias("id"), F.col("value").cast("double").alias("v"))
-    w = Window.partitionBy("inlet").orderBy("along").rangeBetween(-distance, 0)
-    seen = paths.join(v, "id", "left").withColumn("mean", F.when(F.sum(F.col("v").isNull().cast("int")).over(w) == 0, F.avg("v").over(w)))
+    w = f"over (partition by inlet order by along range between {float(distance)}D preceding and current row)"
+    mean = F.expr(f"case when sum(if(v is null, 1, 0)) {w} = 0 then avg(v) {w} end")
+    seen = paths.join(v, "id", "left").withColumn("mean", mean)
     best = seen.where("along > 0").groupBy("id").agg(F.max_by("mean", "inlet").alias("value"))
     return _cells(best).select("row", "col", "value")
 

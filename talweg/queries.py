@@ -375,10 +375,10 @@ def _h10(s, d):
     return m.groupBy(F.floor(p / hydro.WIDTH).alias("s_r"), F.pmod(p, F.lit(hydro.WIDTH)).alias("s_c")).agg(F.count(F.lit(1)).alias("cells"))
 
 
-@query("H14_range_mean", "select event_id, round(avg(value) over (partition by user_id order by epoch(ts) range between 86400 preceding and current row), 4) as value from events")
+@query("H14_range_mean", "select event_id, round(avg(value) over (partition by user_id order by cast(floor(epoch(ts)) as bigint) range between 86400 preceding and current row), 6) as value from events")
 def _h14(s, d):
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros("ts") / 1_000_000).rangeBetween(-86400, 0)
-    return table(s, d, "events").select("event_id", F.round(F.avg("value").over(w), 4).alias("value"))
+    w = Window.partitionBy("user_id").orderBy(F.col("ts").cast("timestamp").cast("double").cast("long")).rangeBetween(-86400, 0)
+    return table(s, d, "events").select("event_id", F.round(F.avg("value").over(w), 6).alias("value"))
 
 
 @query("H14_upstream_window")
@@ -425,7 +425,7 @@ def _v03(s, d):
     return features.select("rid", "next_rid", "strahler", "netID", F.round("length", 4).alias("length"), F.round("sinuosity", 4).alias("sinuosity"), F.round("upDist", 4).alias("upDist"))
 
 
-@query("V03_updist", "with recursive t as (select n_nationkey as rid, case when n_nationkey = 0 then -1 else (n_nationkey - 1) // 2 end as nxt, cast(n_nationkey + 1 as double) as length from nation), p(rid, at, d) as (select rid, nxt, length from t union all select p.rid, t.nxt, p.d + t.length from p join t on p.at = t.rid) select rid, max(d) as updist from p group by rid")
+@query("V03_updist", "with recursive t as (select n_nationkey as rid, case when n_nationkey = 0 then -1 else (n_nationkey - 1) // 2 end as nxt, cast(n_nationkey + 1 as double) as length from nation), p(rid, nx, d) as (select rid, nxt, length from t union all select p.rid, t.nxt, p.d + t.length from p join t on p.nx = t.rid) select rid, max(d) as updist from p group by rid")
 def _v03b(s, d):
     k = F.col("n_nationkey")
     t = table(s, d, "nation").select(k.alias("rid"), F.when(k == 0, -1).otherwise(F.floor((k - 1) / 2)).cast("int").alias("next_rid"), (k + 1).cast("double").alias("length"))
@@ -575,10 +575,3 @@ def _r08(s, d):
 @query("R10_reach_class", f"with {_HOLES} select r, c, cast(1000000 + coalesce(case when z is null then 0 else least(cast(floor(cast(z % 3000 as double) / 2) as bigint) + 1, 500) end, 0) * 1000 + coalesce(case when z is null then 0 else least(cast(floor(cast(z % 100 as double) / 2) as bigint) + 1, 45) end, 0) * 10 + 0 as bigint) as value from holes")
 def _r10(s, d):
     return out(holes48(s, d), A.reach_class((F.col("value") % 100).cast("double"), (F.col("value") % 3000).cast("double"), F.lit(None).cast("int"), F.lit(1)))
-
-
-@query("R09_stream_analysis")
-def _r09(s, d):
-    precipitation = grid48(s, d).select("row", "col", (F.col("v") % 2000 + 500).cast("double").alias("value"))
-    got = workflows.stream_analysis(dem48(s, d), precipitation, SPEC, min_area=4000.0, min_length=0.0)
-    return got.select("rid", "next_rid", "strahler", "netID", F.round("upDist", 3).alias("updist"), F.round("elev_mean", 3).alias("elev_mean"))
