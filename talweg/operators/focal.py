@@ -69,7 +69,7 @@ def raster_filter(cells: DataFrame, kernel: Kernel, method: str, q: float | None
 
 
 def tiled(cells: DataFrame, tile: int, reach: tuple[int, int, int, int]) -> DataFrame:
-    """Cells with the tile (tr, tc) that needs them: their own, and neighbours within the reach (up, down, left, right)."""
+    """Cells with the tiles (tr, tc) of the cells whose windows hold them; windows reach up, down, left and right."""
     up, down, left, right = reach
     span = lambda k, lo, hi: F.sequence(F.floor((F.col(k) - F.lit(hi)) / tile), F.floor((F.col(k) + F.lit(lo)) / tile))
     return cells.withColumn("tr", F.explode(span("row", up, down))).withColumn("tc", F.explode(span("col", left, right)))
@@ -90,8 +90,7 @@ def _by_tile(cells: DataFrame, offsets: list[tuple[int, int]], tile: int, kernel
     up, left = (max(0, -min(o[i] for o in offsets)) for i in (0, 1))
     down, right = (max(0, max(o[i] for o in offsets)) for i in (0, 1))
     reach = (up, down, left, right)
-    # A cell is needed by the tiles of the cells that it lies in the window of.
-    rows = tiled(cells.select(*keys(cells), F.col("value").cast("double").alias("value")), tile, (down, up, right, left))
+    rows = tiled(cells.select(*keys(cells), F.col("value").cast("double").alias("value")), tile, reach)
     band = "band" in cells.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -27,7 +27,7 @@ def fix(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: str =
     raise RuntimeError(f"no fixpoint after {rounds} rounds")
 
 
-def pointer_doubling(nodes: DataFrame, sums: dict[str, str], rounds: int = 64) -> DataFrame:
+def pointer_doubling(nodes: DataFrame, sums: dict[str, str]) -> DataFrame:
     """Aggregate over all nodes upstream, the node itself included, on a forest.
 
     ``nodes`` has ``id``, ``next`` (null at roots) and value columns; ``sums``
@@ -36,7 +36,7 @@ def pointer_doubling(nodes: DataFrame, sums: dict[str, str], rounds: int = 64) -
     """
     agg = {"sum": F.sum, "min": F.min, "max": F.max}
     state = cut(nodes.select("id", "next", *sums, F.coalesce("next", "id").alias("root")))
-    for _ in range(rounds):
+    for _ in range(state.count().bit_length() + 1):  # a longer path would pass a node twice
         if state.where("next is not null").isEmpty():
             return state.drop("next")
         up = state.where("next is not null").select(F.col("next").alias("id"), *sums)
