@@ -18,25 +18,56 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
+class Design:
+    """Rows of 0/1 features, kept as the columns that are 1, beside a few dense columns; the last one is the bias."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, width: int, dense: np.ndarray):
+        self.row, self.column, self.width = row, column, width
+        self.dense = np.concatenate([dense, np.ones((len(dense), 1))], 1)
+
+    @staticmethod
+    def of(sets: list[list[int]], width: int, dense: np.ndarray | None = None) -> Design:
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        column = np.array([c for s in sets for c in s], np.int64)
+        return Design(row, column, width, np.empty((len(sets), 0)) if dense is None else dense)
+
+    @property
+    def columns(self) -> int:
+        return self.width + self.dense.shape[1]
+
+    def with_dense(self, dense: np.ndarray) -> Design:
+        return Design(self.row, self.column, self.width, dense)
+
+    def take(self, mask: np.ndarray) -> Design:
+        on = mask[self.row]
+        place = np.cumsum(mask) - 1
+        return Design(place[self.row[on]], self.column[on], self.width, self.dense[mask, :-1])
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.column], len(self.dense)) + self.dense @ w[self.width :]
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(self.column, v[self.row], self.width), self.dense.T @ v])
+
+
+def logistic(x: Design, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
     """Weights of a logistic regression with soft labels; the last one is the bias.  Accelerated gradient steps."""
-    x = np.concatenate([x, np.ones((len(x), 1))], 1)
     total = weight.sum()
     if not total:
-        return np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge / total)
+        return np.zeros(x.columns)
+    penalty = np.full(x.columns, ridge / total)
     penalty[-1] = 0
     # Largest curvature, by power iteration.
-    v = np.ones(x.shape[1])
+    v, norm = np.ones(x.columns), 1.0
     for _ in range(20):
-        v = x.T @ (weight * (x @ v)) / total
+        v = x.back(weight * x.dot(v)) / total
         norm = np.linalg.norm(v)
         v /= norm or 1
     rate = 1 / (norm / 4 + penalty[0] + 1e-9)
-    w = u = np.zeros(x.shape[1])
+    w = u = np.zeros(x.columns)
     t = 1.0
     for _ in range(steps):
-        grad = x.T @ (weight * (sigmoid(x @ u) - y)) / total + penalty * u
+        grad = x.back(weight * (sigmoid(x.dot(u)) - y)) / total + penalty * u
         new = u - rate * grad
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         u = new + (t - 1) / t2 * (new - w)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from talweg.llm._common import materialize, pick
 from talweg.llm.bpe import slices
-from talweg.llm.linear import apply, bucket, logistic
+from talweg.llm.linear import Design, apply, bucket, logistic
 
 SAMPLE, FEATURES, ROUNDS = 8000, 1000, 50
 LABELLERS = ("symbols", "token_ends", "capitals", "commonest", "stutter", "lines", "distinct", "word_length", "sentences")
@@ -183,7 +183,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Scor
     rows = voted.where("hashed is not null").orderBy("place", "pattern").limit(SAMPLE).select("pattern", "hashed").collect()
     counted = Counter(b for r in rows for b in r["hashed"])
     columns = {b: i for i, (b, _) in enumerate(sorted(((b, c) for b, c in counted.items() if c >= 3), key=lambda x: (-x[1], x[0]))[:FEATURES])}
-    x = Scorer(columns, np.empty(0), model).matrix([set(r["hashed"]) for r in rows])
+    x = Design.of([sorted({columns[b] for b in r["hashed"] if b in columns}) for r in rows], len(columns))
     y = model.posterior([r["pattern"] for r in rows]) if rows else np.empty(0)
     weight = np.where(y > 0.5, 0.5 / max(y.sum(), 1e-9), 0.5 / max((1 - y).sum(), 1e-9)) * len(y)
     return Scorer(columns, logistic(x, y, weight, ridge=0.1, steps=200), model)

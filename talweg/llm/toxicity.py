@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from talweg.llm._common import at, materialize, pick, positional
 from talweg.llm.bpe import slices
-from talweg.llm.linear import apply, bucket, logistic
+from talweg.llm.linear import Design, apply, bucket, logistic, sigmoid
 
 LABELLED, FEATURES, FOLDS = 8000, 2000, 3
 #: Words remembered by a worker; a full memory is emptied.
@@ -60,17 +60,18 @@ class Chain:
         return known
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, fold: np.ndarray, columns: dict[int, int]) -> Chain:
+def fit_chain(x: Design, labels: np.ndarray, fold: np.ndarray, columns: dict[int, int]) -> Chain:
     """Fit one model a category; ``labels`` has a column for each, ``fold`` a number for each row."""
-    known = np.empty((len(x), 0))
+    known = np.empty((len(labels), 0))
     weights = []
     for y in labels.T.astype(float):
-        both = np.concatenate([x, known], 1)
+        both = x.with_dense(known)
         weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
-        out = np.zeros(len(x))
+        out = np.zeros(len(y))
         for k in range(FOLDS):
             rest = fold != k
-            out[~rest] = apply(both[~rest], logistic(both[rest], y[rest], weight[rest])) if rest.any() else 0.5
+            own = logistic(both.take(rest), y[rest], weight[rest]) if rest.any() else np.zeros(both.columns)
+            out[~rest] = sigmoid(both.take(~rest).dot(own))
         weights.append(logistic(both, y, weight))
         known = np.concatenate([known, out[:, None]], 1)
     return Chain(columns, tuple(weights))
@@ -118,11 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(hit, pa.list_(pa.int32())), batch.column(1), batch.column(2)], ["hit", "y", "fold"])
 
     rows = sample.orderBy("id").select("text", "y", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(FOLDS)).alias("fold")).mapInArrow(found, "hit array<int>, y int, fold long").collect()
-    x = np.zeros((len(rows), len(columns)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["hit"]] = 1
-    x = x.astype(float)
-    marks = [x[:, [columns[b] for b in s]].any(axis=1) if s else np.zeros(len(x), bool) for s in strong]
+    x = Design.of([r["hit"] for r in rows], len(columns))
+    marks = [np.array([not {columns[b] for b in s}.isdisjoint(r["hit"]) for r in rows]) for s in strong]
     y = np.array([r["y"] > 0 for r in rows])
     return fit_chain(x, np.stack([*(m & y for m in marks), y], 1), np.array([r["fold"] for r in rows]), columns)
 
