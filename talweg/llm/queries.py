@@ -107,4 +107,34 @@ SQL: dict[str, str] = {
         select doc_id, keep_id, cast(group_size as bigint) as group_size, doc_id = keep_id as kept, text_sha256
         from t join g using (text_sha256)
     """,
+    "op3_url_filter": """
+        with p as (
+            select page_id, url, coalesce(strpos(url, '://'), 0) as mark from pages
+        ), q as (
+            select page_id, case when mark > 0 then substr(url, mark + 3) else '' end as rest from p
+        ), h as (
+            select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') as path
+            from q
+        ), rules(rule, rule_host, rule_path, verdict) as (
+            values ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'), ('net/de/', 'net', '/de/', 'allow'),
+                ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')
+        ), m as (
+            select h.page_id, r.rule, r.verdict, row_number() over (partition by h.page_id order by length(r.rule) desc) as k
+            from h join rules r on (h.host = r.rule_host or ends_with(h.host, '.' || r.rule_host)) and starts_with(h.path, r.rule_path)
+        )
+        select h.page_id, h.host, h.path, m.rule, coalesce(m.verdict, 'allow') as verdict
+        from h left join m on h.page_id = m.page_id and m.k = 1
+    """,
+    "op7_topk": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v from embeddings where embedding is not null
+        ), s as (
+            select a.vec_id as query_id, b.vec_id, cast(list_inner_product(a.v, b.v) as bigint) as score
+            from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0
+        ), t as (
+            select query_id, row_number() over (partition by query_id order by score desc, vec_id) as k, vec_id, score from s
+        )
+        select query_id, cast(k as integer) as rank, vec_id, score from t where k <= 20
+    """,
 }
