@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import itertools
 import json
 import os
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from talweg.llm._common import pick
 
@@ -36,6 +38,11 @@ BATCH_CHARS = 2_000_000
 _RUN, _EDGE = re.compile(r"\s "), re.compile(r"\S(?= )")
 
 
+def _ends(parts: list[str]) -> np.ndarray:
+    """Where each part ends in the bytes of their concatenation."""
+    return np.cumsum([len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in parts], dtype=np.int64)
+
+
 def byte_characters() -> list[str]:
     """The character that stands for each byte: printable ones for themselves, others from U+0100 on."""
     plain = {*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)}
@@ -70,9 +77,12 @@ class Codec:
         to_char = byte_characters()
         chars = ["".join(map(to_char.__getitem__, t)) for t in ranks]
         vocab = dict(zip(chars, ranks.values()))
-        # Any split of a token into two tokens is a merge of that token's rank.
-        merges = [(c[:i], c[i:]) for c in sorted(vocab, key=vocab.get) if len(c) > 1 for i in range(1, len(c)) if c[:i] in vocab and c[i:] in vocab]
-        self.model = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True, cache_capacity=0))
+        if path.endswith(".json"):
+            with open(path, encoding="utf-8") as f:
+                merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in json.load(f)["model"]["merges"]]
+        else:  # any split of a token into two tokens is a merge of that token's rank
+            merges = [(c[:i], c[i:]) for c in sorted(vocab, key=vocab.get) if len(c) > 1 for i in range(1, len(c)) if c[:i] in vocab and c[i:] in vocab]
+        self.model = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=not path.endswith(".json"), cache_capacity=0))
         from_char = {c: b for b, c in enumerate(to_char)}
         self.token_bytes = {i: bytes(map(from_char.__getitem__, c)) for c, i in vocab.items()}
         self.token_size = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -84,32 +94,36 @@ class Codec:
         self.words: dict[str, bytes] = {}
         self.matches: dict[str, bytes] = {}
 
-    def _ids(self, matches: list[str]) -> dict[str, bytes]:
-        """Ids of distinct matches, each encoded by itself."""
-        out = {}
-        for i in range(0, len(matches), 1000):
-            some = matches[i : i + 1000]
-            chars = [m.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.to_chars) for m in some]
-            e = self.model.encode_batch_fast([chars], is_pretokenized=True, add_special_tokens=False)[0]
-            packed = np.array(e.ids, "<u4").tobytes()
-            ends = np.searchsorted(np.cumsum(self.token_size[e.ids]), np.cumsum([len(c) for c in chars]), "left")
-            ends = (4 * (ends + 1)).tolist()
-            start = 0
-            for m, end in zip(some, ends):
-                out[m] = packed[start:end]
-                start = end
-        return out
+    def _stream(self, matches: list[str], text: str, ends: np.ndarray) -> list[bytes]:
+        """Encode matches, each by itself, and cut their ids where ``ends`` (in bytes of ``text``, their concatenation) says."""
+        chars = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.to_chars)
+        sizes = map(len, matches) if text.isascii() else (len(m.encode("utf-8", "surrogatepass")) for m in matches)
+        stops = list(itertools.accumulate(sizes))
+        cut = [chars[a:b] for a, b in zip([0, *stops], stops)]
+        ids = [np.empty(0, "<u4")]
+        for i in range(0, len(cut), 1000):
+            e = self.model.encode_batch_fast([cut[i : i + 1000]], is_pretokenized=True, add_special_tokens=False)[0]
+            ids.append(np.array(e.ids, "<u4"))
+        whole = np.concatenate(ids)
+        stop = (4 * (np.searchsorted(np.cumsum(self.token_size[whole]), ends, "left") + 1)).tolist()
+        packed = whole.tobytes()
+        return [packed[a:b] for a, b in zip([0, *stop], stop)]
 
     def _learn(self, words: set[str], matches: set[str]) -> None:
-        """Put what is missing into the caches, in a fixed order."""
-        cut = {w: self.split(" " + w) for w in sorted(words - self.words.keys())}
-        new = {m for ms in cut.values() for m in ms} | matches
-        ids = self._ids(sorted(new - self.matches.keys()))
-        get = lambda m: ids.get(m) or self.matches[m]
-        for w, ms in cut.items():
-            self.words[w] = get(ms[0]) if len(ms) == 1 else b"".join(map(get, ms))
-        for m in matches - self.matches.keys():
-            self.matches[m] = ids[m]
+        """Put what is missing into the caches."""
+        new = list(matches - self.matches.keys())
+        if new:
+            self.matches.update(zip(new, self._stream(new, "".join(new), _ends(new))))
+        missing = words - self.words.keys()
+        # Behind a word that ends in white space the next one would be cut otherwise.
+        odd = [w for w in missing if not w or w[-1].isspace()]
+        for w in odd:
+            cut = self.split(" " + w)
+            self.words[w] = b"".join(self._stream(cut, " " + w, _ends(cut)))
+        plain = list(missing.difference(odd))
+        if plain:
+            text = " " + " ".join(plain)
+            self.words.update(zip(plain, self._stream(self.split(text), text, _ends(plain) + np.arange(1, len(plain) + 1))))
 
     def _chunks(self, text: str) -> list[str]:
         """Cut a very long text where a match must begin: at a space behind a character that is not white space."""
@@ -124,9 +138,13 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        if any(len(t) > BATCH_CHARS for t in texts):
-            return [b"".join(self._encode([c])[0] for c in self._chunks(t)) for t in texts]
-        return self._encode(texts)
+        gc.disable()  # many small objects and no cycles
+        try:
+            if any(len(t) > BATCH_CHARS for t in texts):
+                return [b"".join(self._encode([c])[0] for c in self._chunks(t)) for t in texts]
+            return self._encode(texts)
+        finally:
+            gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         for cache in (self.words, self.matches):
@@ -214,7 +232,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns of ``df`` and the decoded bytes of its packed ids; null ids decode to no bytes."""
-    schema = df.schema.add(out, "binary")
+    schema = StructType([*df.schema.fields, StructField(out, BinaryType())])
     at = df.columns.index(ids_col)
 
     def run(batches):
