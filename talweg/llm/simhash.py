@@ -224,13 +224,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def fingerprint_components(rows: DataFrame) -> DataFrame:
-    """(fp, component, n, members) of the rows (fp, id): smallest id reachable, rows of the fingerprint, rows of the component."""
+    """(fp, label, component, n, members) of the rows (fp, id): the component's smallest fingerprint, smallest id reachable, rows of the fingerprint, rows of the component.
+
+    Only ``label`` names a component: several can have the same smallest id, or none.
+    """
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprints")
     labels = components(materialize(links(nodes), "links"))
     labelled = materialize(nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", "n", F.coalesce("label", "fp").alias("label"), F.col("node").isNotNull().alias("linked")), "labelled")
     sums = materialize(labelled.where("linked").groupBy("label").agg(F.min("least").alias("component"), F.sum("n").alias("members")), "components")
-    linked = labelled.where("linked").join(sums, "label").select("fp", "component", "n", "members")
-    alone = labelled.where("not linked").select("fp", F.col("least").alias("component"), "n", F.col("n").alias("members"))
+    linked = labelled.where("linked").join(sums, "label").select("fp", "label", "component", "n", "members")
+    alone = labelled.where("not linked").select("fp", "label", F.col("least").alias("component"), "n", F.col("n").alias("members"))
     return materialize(linked.unionByName(alone), "fingerprint-components")
 
 
@@ -244,7 +247,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id_at = at(df, id_col)
     rows = materialize(with_fingerprints(df, text_col, [id_at]).withColumnRenamed(id_at, "id"), "doc-fingerprints")
     found = fingerprint_components(rows)
-    return spread_join(rows, found, "fp", "n", rows.count(), [F.col("id")]).drop("n")
+    return spread_join(rows, found, "fp", "n", rows.count(), [F.col("id")]).drop("n", "label")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,11 +259,11 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     id_at, text_at, names = at(df, id_col), at(df, text_col), [f"c{i}" for i in range(len(df.columns))]
     rows = materialize(with_fingerprints(df, text_col, names), "docs-with-fingerprints")
     found = fingerprint_components(rows.select("fp", F.col(id_at).alias("id")))
-    several = materialize(found.where("members > 1").select("fp", "component", "n"), "several")
+    several = materialize(found.where("members > 1").select("fp", "label", "n"), "several")
     packed = flag(rows.select("fp", F.struct(*names).alias("row")), "fp", *bit_array(several, "fp", several.count(), 1))
     by = atomic(positional(df), "row.")
     total = several.agg(F.sum("n")).first()[0] or 0
     tagged = spread_join(packed.where("possible").select("fp", "row"), several, "fp", "n", total, by)
     alone = packed.where(~F.col("possible")).select("row").unionByName(tagged.where("n is null").select("row"))
-    one = tagged.where("n is not null").groupBy("component").agg(F.min_by("row", F.struct(F.col(f"row.{id_at}").isNull(), f"row.{id_at}", f"row.{text_at}")).alias("row"))
+    one = tagged.where("n is not null").groupBy("label").agg(F.min_by("row", F.struct(F.col(f"row.{id_at}").isNull(), f"row.{id_at}", f"row.{text_at}")).alias("row"))
     return alone.unionByName(one.select("row")).select("row.*").toDF(*df.columns)

@@ -113,6 +113,16 @@ def test_simhash(spark, docs):
     assert near_duplicates(docs.limit(0)).count() == 0 and drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_components_without_own_ids(spark):
+    from talweg.llm.simhash import drop_near_duplicates
+
+    groups = [" ".join(f"{g}{i}" for i in range(40)) for g in "abcd"]
+    ids = [None, None, 7, 7]
+    rows = [(i, t if k else t.upper()) for i, t in zip(ids, groups) for k in range(2)]
+    kept = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.text.lower(), r.doc_id) for r in kept.collect()) == list(zip(groups, ids))
+
+
 def test_topk(spark):
     from talweg.llm.topk import top_k
 
