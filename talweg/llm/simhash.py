@@ -37,26 +37,32 @@ LENGTH, GENERATOR, RADIUS = 23, 0b110001110101, 3
 CHUNK, BLOCK = 200_000, 2048
 
 
-def fingerprint(text: str | None) -> int:
-    """64-bit SimHash of a whole text as a signed integer; 0 without words."""
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """Hashes of all runs of ``words`` words of a whole text, some at a time; a shorter text is one run, none without words."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return
+    ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    if len(words) >= WORDS:
-        starts, ends = starts[: len(words) - WORDS + 1], ends[WORDS - 1 :]
+    if len(found) >= words:
+        starts, ends = starts[: len(found) - words + 1], ends[words - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
+    joined, hashed = b" ".join(found), xxhash.xxh64_intdigest
     for i in range(0, len(starts), CHUNK):
         cut = zip(starts[i : i + CHUNK].tolist(), ends[i : i + CHUNK].tolist())
-        h = np.array([hashed(joined[a:b], SEED) for a, b in cut], "<u8")
+        yield np.array([hashed(joined[a:b], SEED) for a, b in cut], "<u8")
+
+
+def fingerprint(text: str | None) -> int:
+    """64-bit SimHash of a whole text as a signed integer; 0 without words."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, WORDS):
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<i8")[0])
+        n += len(h)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
 def with_fingerprints(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -250,20 +256,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return spread_join(rows, found, "fp", "n", rows.count(), [F.col("id")]).drop("n", "label")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` with one row of each component (smallest id, then text), all columns as they were.
+def keep_one(df: DataFrame, rows: DataFrame, key: str, several: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of the rows of ``df`` (by position, with ``key``) one of each ``label`` in ``several`` (key, label, n): smallest id, then text.
 
-    Rows that are alone in their component pass straight through; only the
+    Rows whose key is not in ``several`` pass straight through; only the
     others shuffle.
     """
     id_at, text_at, names = at(df, id_col), at(df, text_col), [f"c{i}" for i in range(len(df.columns))]
-    rows = materialize(with_fingerprints(df, text_col, names), "docs-with-fingerprints")
-    found = fingerprint_components(rows.select("fp", F.col(id_at).alias("id")))
-    several = materialize(found.where("members > 1").select("fp", "label", "n"), "several")
-    packed = flag(rows.select("fp", F.struct(*names).alias("row")), "fp", *bit_array(several, "fp", several.count(), 1))
+    packed = flag(rows.select(key, F.struct(*names).alias("row")), key, *bit_array(several, key, several.count(), 1))
     by = atomic(positional(df), "row.")
     total = several.agg(F.sum("n")).first()[0] or 0
-    tagged = spread_join(packed.where("possible").select("fp", "row"), several, "fp", "n", total, by)
+    tagged = spread_join(packed.where("possible").select(key, "row"), several, key, "n", total, by)
     alone = packed.where(~F.col("possible")).select("row").unionByName(tagged.where("n is null").select("row"))
     one = tagged.where("n is not null").groupBy("label").agg(F.min_by("row", F.struct(F.col(f"row.{id_at}").isNull(), f"row.{id_at}", f"row.{text_at}")).alias("row"))
     return alone.unionByName(one.select("row")).select("row.*").toDF(*df.columns)
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` with one row of each component (smallest id, then text), all columns as they were."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    rows = materialize(with_fingerprints(df, text_col, names), "docs-with-fingerprints")
+    found = fingerprint_components(rows.select("fp", F.col(at(df, id_col)).alias("id")))
+    several = materialize(found.where("members > 1").select("fp", "label", "n"), "several")
+    return keep_one(df, rows, "fp", several, id_col, text_col)

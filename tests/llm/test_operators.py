@@ -123,6 +123,42 @@ def test_components_without_own_ids(spark):
     assert sorted((r.text.lower(), r.doc_id) for r in kept.collect()) == list(zip(groups, ids))
 
 
+def test_pipeline_drops_similar_texts(spark):
+    from corpus_pipeline import near_dedup
+    from talweg.llm.similar import shingles
+
+    rng = np.random.default_rng(4)
+    rows, sets = [], {}
+    for g in range(30):
+        base = [f"w{g}x{i}" for i in range(120)]
+        for k in range(8):
+            own = list(base)
+            for i in rng.choice(120, k % 4, replace=False):
+                own[i] = f"e{k}x{i}"
+            rows.append((8 * g + k, " ".join(own)))
+    for k in range(40):  # one wide group: most pairs are less similar than 0.8
+        own = [f"base{i}" for i in range(120)]
+        for i in rng.choice(120, int(rng.integers(1, 5)), replace=False):
+            own[i] = f"f{k}x{i}"
+        rows.append((300 + k, " ".join(own)))
+    rows += [(900, ""), (901, None), (902, "two words"), (903, "Two  WORDS"), (None, "on its own"), (None, "another one")]
+    for n, (_, t) in enumerate(rows):
+        sets[n] = set(shingles(t).tolist())
+    root = list(range(len(rows)))
+    for y in range(len(rows)):
+        for x in range(y):
+            if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]) and root[x] != root[y]:
+                root = [root[x] if r == root[y] else r for r in root]
+    want = {}
+    for n, r in enumerate(root):
+        want.setdefault(r, rows[n])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, want.values())) and len(want) < 160
+    assert near_dedup(spark, docs.limit(0), "").count() == 0
+
+
 def test_topk(spark):
     from talweg.llm.topk import top_k
 
