@@ -56,7 +56,7 @@ def nearest(pred: DataFrame, obs: DataFrame, k: int) -> DataFrame:
         if ring > 64 or ring > reach:  # far from all observations: the rest by blocks against all
             rest = _best(open_.join(placed.drop("bx", "by")).withColumn("d2", _d2()), k)
             return done.unionByName(rest)
-    return done
+    return _best(open_.join(placed.drop("bx", "by")).withColumn("d2", _d2()), k) if done is None else done
 
 
 def idw(pred: DataFrame, obs: DataFrame, k: int = 3) -> DataFrame:

@@ -133,3 +133,24 @@ def test_raster_round_trip(spark, tmp_path):
         r.window(slice(0, 4))
     r.write_window(spark.createDataFrame([(0, 1, 42.0)], "row int, col int, value double"))
     assert values(r.cells())[(0, 1)] == 42 and r.cells().count() == 9
+
+
+def test_bounding_query_uses_all_observations(spark, tmp_path):
+    import numpy as np
+
+    from talweg import queries as Q
+    from talweg.operators import interp
+
+    n = 21_000
+    assert n > interp.SMALL
+    spark.range(n).select(F.col("id").alias("c_custkey"), (F.col("id") % 1013).cast("double").alias("c_acctbal")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(1, 13).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    obs = Q._all_obs(spark, str(tmp_path)).collect()
+    assert len(obs) == n == len({(o.ox, o.oy) for o in obs})
+    pred = Q._pred(spark, str(tmp_path))
+    got = {(r.pid, r["rank"]): r.oid for r in interp.nearest(pred, Q._all_obs(spark, str(tmp_path)), 3).collect()}
+    oid, x, y = (np.array([o[c] for o in obs]) for c in ("oid", "ox", "oy"))
+    for p in pred.collect():
+        best = np.lexsort((oid, (p.px - x) ** 2 + (p.py - y) ** 2))[:3]
+        assert [got[(p.pid, k)] for k in (1, 2, 3)] == oid[best].tolist()
+    assert Q.QUERIES["I05_bounding_idw"](spark, str(tmp_path)).where("value is not null").count() == 12
