@@ -84,7 +84,7 @@ def features(text: str | None, m: dict[str, float] | None) -> set[int]:
     step = lambda v: int(np.searchsorted((0.005, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7), v))
     shapes: Counter = Counter()
     for t, c in Counter((text or "").split()).items():
-        shape = "".join("X" if x.isupper() else "x" if x.isalpha() else "9" if x.isdigit() else x for x in t[:40])
+        shape = "".join("X" if x.isupper() else "x" if x.isalpha() else "9" if x.isdigit() else x for x in t)
         shapes[re.sub(r"(.)\1+", r"\1\1", shape)] += c
     out = {bucket(f"s {s} {step(c / m['n'])}") for s, c in shapes.items() if c * 50 >= m["n"]}
     out |= {bucket(f"m {k} {step(m[k])}") for k in LABELLERS if k not in ("word_length", "distinct")}

@@ -232,3 +232,10 @@ def test_classifiers(spark):
     good = {r.doc_id: r.keep for r in quality.score(df, quality.train(df)).collect()}
     assert sum(good[i] == (i % 10 != 1) for i in range(400)) >= 392 and not good[999] and not good[None]
     assert quality.train(df.limit(0)) is None and quality.score(df.limit(0), None).count() == 0
+
+
+def test_quality_reads_whole_tokens():
+    from talweg.llm.quality import measures, features
+
+    m = measures("a" * 40 + "b" * 40)
+    assert features("a" * 40 + "b" * 40, m) != features("a" * 40 + "#7" * 20, m)
