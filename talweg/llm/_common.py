@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +19,20 @@ HOT_SHARE = 200
 HOT_SALTS = 64
 
 
+#: Scratch tables that this process has written and not yet released.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one is set only where the session names none."""
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where the session names none, a local folder is set on a local master only;
+    elsewhere executors could not share it, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="talweg-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -27,7 +40,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/talweg-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; :func:`release` or :func:`scratch` frees it."""
+    path = f"{shared_dir(spark)}/talweg-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Empty scratch tables, all of this process or some: each is overwritten with a table of no rows."""
+    for path in list(_made) if paths is None else paths:
+        spark.createDataFrame([], "gone int").write.mode("overwrite").parquet(path)
+        if path in _made:
+            _made.remove(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are released at the end, when results must have been written or collected."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        release(spark, [p for p in _made if p not in before])
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -66,6 +100,15 @@ def atomic(df: DataFrame, prefix: str = "") -> list[Column]:
     return [F.col(f"{prefix}{name}") for name, kind in df.dtypes if kind.startswith(plain) and "<" not in kind]
 
 
+def row_order(df: DataFrame, prefix: str = "") -> Column:
+    """A hash of a whole row below ``prefix``: decides between rows that tie otherwise, so that a task run again chooses alike.
+
+    Maps, and what holds them, do not count; rows that differ in nothing else are interchangeable.
+    """
+    names = [F.col(f"{prefix}{name}") for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    return F.xxhash64(F.lit(5), *names)
+
+
 def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, by: list[Column], how: str = "left") -> DataFrame:
     """Join rows to the one group row of their key, with hot keys dealt over salts.
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talweg.llm._common import at, lower_ascii, materialize, pick, positional, spread_join
+from talweg.llm._common import at, lower_ascii, materialize, pick, positional, row_order, spread_join
 
 HASHES, BITS_PER_ROW, MAX_BITS = 2, 16, 1 << 28
 #: Bits of one row of the array; fixed by bitmap_construct_agg.
@@ -95,7 +95,9 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``df`` with one row for each text, all columns as they were.
 
     Equality and choice as in :func:`exact_dedup`; between rows of one id the
-    largest text stays (equal texts can differ in case).
+    largest text stays (equal texts can differ in case), and of rows with equal
+    id and text that with the largest hash over all columns, whatever the order
+    of tasks.  An empty table gives an empty result.
     """
     id_at, text_at = at(df, id_col), at(df, text_col)
     rows = positional(df).select(F.struct("*").alias("row"))
@@ -103,6 +105,6 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keys = materialize(keyed.select("key"), "text-keys")
     flagged = flag(keyed, "key", *bit_array(keys, "key", keys.count()))
     alone = flagged.where(~F.col("possible")).select("row")
-    best = F.max_by("row", F.struct(f"row.{id_at}", f"row.{text_at}"))
+    best = F.max_by("row", F.struct(F.col(f"row.{id_at}"), F.col(f"row.{text_at}"), row_order(positional(df), "row.")))
     again = flagged.where("possible").groupBy("key").agg(best.alias("row")).select("row")
     return alone.unionByName(again).select("row.*").toDF(*df.columns)

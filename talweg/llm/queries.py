@@ -55,7 +55,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talweg.llm.packing import pack
 
     out = pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
-    return out.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return out.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket", "batch_id")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +74,9 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from talweg.llm.quality import score, train
+    from talweg.llm.quality import train_and_score
 
-    docs = _table(spark, sf_dir, "documents")
-    return score(docs, train(docs))
+    return train_and_score(_table(spark, sf_dir, "documents"))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ are read; only possible repeats shuffle their text (see exact_dedup).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,15 +95,17 @@ class SecretLedger:
         self.spark, self.rule_version = spark, rule_version
         self.path = path or scratch_path(spark, "ledger")
 
-    def _exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+    def _stored(self) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(LEDGER).parquet(self.path)
+        except AnalysisException:  # nothing has been written there yet
+            return None
 
     def read(self) -> DataFrame:
         """What this rule version has scanned, each blob once."""
-        if not self._exists():
+        seen = self._stored()
+        if seen is None:
             return self.spark.createDataFrame([], LEDGER)
-        seen = self.spark.read.schema(LEDGER).parquet(self.path)
         return seen.where(F.col("rule_version") == self.rule_version)
 
     def update(self, versions: DataFrame, text_col: str = "text") -> DataFrame:
@@ -120,7 +123,7 @@ class SecretLedger:
         once = flagged.where(~F.col("possible")).select("blob", "text")
         again = flagged.where("possible").groupBy("blob").agg(F.first("text").alias("text"))
         fresh = once.unionByName(again)
-        if self._exists():
+        if self._stored() is not None:
             fresh = fresh.join(self.read().select("blob").hint("shuffle_hash"), "blob", "left_anti")
         found = fresh.select("blob", F.lit(self.rule_version).alias("rule_version"), find_spans(F.col("text")).alias("spans"))
         found.write.mode("append").parquet(self.path)
@@ -163,6 +166,20 @@ def scan_secrets(df: DataFrame, ledger: SecretLedger | None = None, id_col: str
     )
 
 
+def scan_history(versions: DataFrame, ledger: SecretLedger, path_col: str = "path", version_col: str = "version", text_col: str = "text") -> DataFrame:
+    """``path, version, blob, spans`` of every historical version: findings joined back to all paths that ever held the blob.
+
+    Only blobs that the ledger has not seen under its rule version are scanned,
+    so a second call over a longer history scans what is new.  Null texts count
+    as empty; repeated rows each get their own result; an empty table gives an
+    empty result.  One writer at a time may use a ledger.
+    """
+    keyed = ledger.update(pick(versions, path=path_col, version=version_col, text=text_col))
+    slim = materialize(keyed.select(F.col("row.c0").alias("path"), F.col("row.c1").alias("version"), "blob"), "blob-paths")
+    found = ledger.findings(slim, [F.col("path"), F.col("version")])
+    return found.select("path", "version", F.lower(F.hex("blob")).alias("blob"), span_text(F.col("spans")).alias("spans"))
+
+
 def redact_secrets(df: DataFrame, ledger: SecretLedger | None = None, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """All rows and columns, with secrets in the text replaced; ``length_col`` follows the new text.
 

@@ -10,8 +10,9 @@ plus HALF (at most 68), which finds the same links as radius plus threshold on
 one side, and all 64 bits are compared anchor by anchor.
 
 Documents of one fingerprint are one node.  A task that compares anchors
-passes on a spanning forest of its links, not the pairs, and components come
-from rounds of minimum labels over tables in the shared folder.
+passes on spanning forests of its links, not the pairs; an anchor with very
+many fingerprints is split into pairs of blocks, each compared by itself.
+Components come from rounds of minimum labels over tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talweg.llm._common import at, atomic, materialize, positional, spread_join
+from talweg.llm._common import at, atomic, materialize, positional, row_order, spread_join
 from talweg.llm.bpe import slices
 from talweg.llm.exact_dedup import bit_array, flag
 
@@ -35,6 +36,8 @@ HALF = (THRESHOLD + 1) // 2
 LENGTH, GENERATOR, RADIUS = 23, 0b110001110101, 3
 #: Shingles hashed at a time; rows compared at a time.
 CHUNK, BLOCK = 200_000, 2048
+#: Fingerprints of an anchor that one task compares; more are split into pairs of blocks.
+WIDE = 16_384
 
 
 def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
@@ -151,64 +154,97 @@ class _Forest:
             self.parent[max(x, y)] = min(x, y)
 
 
-def _link_large(fps: np.ndarray, forest: _Forest) -> None:
-    """Link one anchor's fingerprints, block against block; only links between different components are looked at one by one."""
-    label = np.array([forest.root(int(x)) for x in fps], np.int64)
-    for i in range(0, len(fps), BLOCK):
-        for j in range(0, i + BLOCK, BLOCK):
-            x, y = fps[i : i + BLOCK], fps[j : j + BLOCK]
+def _link_large(left: np.ndarray, right: np.ndarray, forest: _Forest) -> None:
+    """Link one cell's fingerprints, block against block; only links between different components are looked at one by one."""
+    same = left is right
+    at = np.array([forest.root(int(x)) for x in left], np.int64)
+    to = at if same else np.array([forest.root(int(x)) for x in right], np.int64)
+    for i in range(0, len(left), BLOCK):
+        for j in range(0, i + BLOCK if same else len(right), BLOCK):
+            x, y = left[i : i + BLOCK], right[j : j + BLOCK]
             near = _near(x[:, None], y[None, :])
-            while (open_ := near & (label[i : i + BLOCK, None] != label[None, j : j + BLOCK])).any():
+            while (open_ := near & (at[i : i + BLOCK, None] != to[None, j : j + BLOCK])).any():
                 rows = np.flatnonzero(open_.any(axis=1))
                 for r, c in zip(rows.tolist(), open_[rows].argmax(axis=1).tolist()):
                     forest.join(int(x[r]), int(y[c]))
-                for lo in {i, j}:
-                    label[lo : lo + BLOCK] = [forest.root(int(v)) for v in fps[lo : lo + BLOCK]]
+                at[i : i + BLOCK] = [forest.root(int(v)) for v in x]
+                to[j : j + BLOCK] = [forest.root(int(v)) for v in y]
+                if not same:
+                    at[i : i + BLOCK] = [forest.root(int(v)) for v in x]
 
 
-def _compare(anchor: np.ndarray, fps: np.ndarray, forest: _Forest) -> None:
-    """Link the fingerprints of whole anchors (sorted by anchor)."""
-    edge = np.flatnonzero(np.diff(anchor)) + 1
-    starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(anchor)]])
+def _compare(cell: np.ndarray, fps: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (u, v) of the links within each cell (sorted by cell).
+
+    Two fingerprints of side 0, or of side 1, are compared in another cell;
+    those of side 2 are compared with all of their cell.
+    """
+    forest = _Forest()
+    edge = np.flatnonzero(np.diff(cell)) + 1
+    starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(cell)]])
     size = ends - starts
     for s, e in zip(starts[size > 32].tolist(), ends[size > 32].tolist()):
-        _link_large(fps[s:e], forest)
+        f, k = fps[s:e], side[s:e]
+        if (k == 2).all():
+            _link_large(f, f, forest)
+        else:
+            _link_large(f[k != 1], f[k != 0], forest)
     small = np.repeat(size <= 32, size)
     for k in range(1, int(min(32, size.max()))):
-        same = (anchor[k:] == anchor[:-k]) & small[k:]
+        same = (cell[k:] == cell[:-k]) & small[k:]
         i = np.flatnonzero(same)
         i = i[_near(fps[i], fps[i + k])]
         for x, y in set(zip(fps[i].tolist(), fps[i + k].tolist())):
             forest.join(x, y)
+    linked = [(x, r) for x in list(forest.parent) if (r := forest.root(x)) != x]
+    return np.array([x for x, _ in linked], np.int64), np.array([r for _, r in linked], np.int64)
 
 
 def _link_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor in, a spanning forest (fp, root) of this task's links out."""
-    forest = _Forest()
-    held_a, held_f = [], []
+    """Rows (cell, fp, side) sorted by cell in, spanning forests (u, v) of whole cells out; memory holds one cell and one batch."""
+    held: list[list[np.ndarray]] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if held:
+            u, v = _compare(*(np.concatenate(c) for c in zip(*held)))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
     for batch in batches:
-        a, f = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        if not len(a):
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        cell = columns[0]
+        if not len(cell):
             continue
-        cut = int(np.searchsorted(a, a[-1], "left"))  # the last anchor can go on in the next batch
-        if cut or (held_a and held_a[0][0] != a[-1]):
-            held_a.append(a[:cut])
-            held_f.append(f[:cut])
-            _compare(np.concatenate(held_a), np.concatenate(held_f), forest) if sum(map(len, held_a)) else None
-            held_a, held_f = [], []
-        held_a.append(a[cut:])
-        held_f.append(f[cut:])
-    if held_a:
-        _compare(np.concatenate(held_a), np.concatenate(held_f), forest)
-    linked = [(x, forest.root(x)) for x in list(forest.parent)]
-    linked = [(x, r) for x, r in linked if x != r]
-    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in linked], pa.int64()), pa.array([r for _, r in linked], pa.int64())], ["u", "v"])
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect all fingerprints (distinct rows ``fp``) with links at most THRESHOLD bits long."""
-    copies = fps.select("fp").mapInArrow(_anchor_rows, "anchor long, fp long")
-    return copies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_link_rows, "u long, v long").distinct()
+        cut = int(np.searchsorted(cell, cell[-1], "left"))  # the last cell can go on in the next batch
+        if cut:
+            held.append([c[:cut] for c in columns])
+        if cut or (held and held[0][0][0] != cell[-1]):
+            yield from flush()
+            held.clear()
+        held.append([c[cut:] for c in columns])
+    yield from flush()
+
+
+def links(fps: DataFrame, wide: int = WIDE) -> DataFrame:
+    """Edges (u, v) that connect all fingerprints (distinct rows ``fp``) with links at most THRESHOLD bits long.
+
+    An anchor is one cell, that is the work of one task at a time, unless it has
+    more than ``wide`` fingerprints: those are dealt over blocks of about ``wide``
+    by their hash, and each pair of blocks is a cell of its own.
+    """
+    copies = materialize(fps.select("fp").mapInArrow(_anchor_rows, "anchor long, fp long"), "anchors")
+    crowded = materialize(copies.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > wide), "crowded-anchors")
+    cells = copies.select(F.col("anchor").alias("cell"), "fp", F.lit(2).alias("side"))
+    crowd = crowded.agg(F.sum("n")).first()[0]
+    if crowd:
+        dealt = spread_join(copies, crowded, "anchor", "n", crowd, [F.col("fp")])
+        blocks = F.ceil(F.col("n") / wide).cast("int")
+        own = F.pmod(F.xxhash64("fp", F.lit(3)), blocks).cast("int")
+        split = dealt.where("n is not null").select("anchor", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        # Pair (i, j) of blocks, i <= j; the cell's number is a hash, and a collision only adds comparisons.
+        pair = F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other"))
+        side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+        cells = dealt.where("n is null").select(F.col("anchor").alias("cell"), "fp", F.lit(2).alias("side")).unionByName(split.select(pair.alias("cell"), "fp", side.alias("side")))
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_link_rows, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -257,7 +293,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, rows: DataFrame, key: str, several: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Of the rows of ``df`` (by position, with ``key``) one of each ``label`` in ``several`` (key, label, n): smallest id, then text.
+    """Of the rows of ``df`` (by position, with ``key``) one of each ``label`` in ``several`` (key, label, n): smallest id, then text, then hash over all columns.
 
     Rows whose key is not in ``several`` pass straight through; only the
     others shuffle.
@@ -268,12 +304,15 @@ def keep_one(df: DataFrame, rows: DataFrame, key: str, several: DataFrame, id_co
     total = several.agg(F.sum("n")).first()[0] or 0
     tagged = spread_join(packed.where("possible").select(key, "row"), several, key, "n", total, by)
     alone = packed.where(~F.col("possible")).select("row").unionByName(tagged.where("n is null").select("row"))
-    one = tagged.where("n is not null").groupBy("label").agg(F.min_by("row", F.struct(F.col(f"row.{id_at}").isNull(), f"row.{id_at}", f"row.{text_at}")).alias("row"))
+    one = tagged.where("n is not null").groupBy("label").agg(F.min_by("row", F.struct(F.col(f"row.{id_at}").isNull(), F.col(f"row.{id_at}"), F.col(f"row.{text_at}"), row_order(positional(df), "row."))).alias("row"))
     return alone.unionByName(one.select("row")).select("row.*").toDF(*df.columns)
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` with one row of each component (smallest id, then text), all columns as they were."""
+    """The rows of ``df`` with one row of each component (smallest id, then text, then hash over all columns), all columns as they were.
+
+    Null and empty texts are similar to each other; an empty table gives an empty result.
+    """
     names = [f"c{i}" for i in range(len(df.columns))]
     rows = materialize(with_fingerprints(df, text_col, names), "docs-with-fingerprints")
     found = fingerprint_components(rows.select("fp", F.col(at(df, id_col)).alias("id")))

@@ -5,6 +5,13 @@ features; each model also sees the probabilities of the categories before it.
 In training those are out-of-fold predictions, so that later models learn from
 probabilities as unsure as they will meet.
 
+``labels`` holds one label.  The chain's last category is that label; the two
+before it are marked in the labelled sample: a toxic document has an abusive
+word (stem) if it has a word (stem) that toxic documents share and clean ones
+do not.  What those words are, and which features a model sees, is chosen anew
+for each fold from the other folds alone, so that an out-of-fold prediction
+knows nothing of the fold's own labels.
+
 Features are a text's words and the words' first four and five characters.
 The models are fitted on at most ``LABELLED`` labelled documents (those with
 the smallest hashes of their ids); features are chosen on the same sample by
@@ -13,6 +20,8 @@ how unevenly the classes use them, at most ``FEATURES`` of them.
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -60,21 +69,49 @@ class Chain:
         return known
 
 
-def fit_chain(x: Design, labels: np.ndarray, fold: np.ndarray, columns: dict[int, int]) -> Chain:
-    """Fit one model a category; ``labels`` has a column for each, ``fold`` a number for each row."""
-    known = np.empty((len(labels), 0))
+@dataclass(frozen=True)
+class Choice:
+    """Column of each chosen feature's bucket, and the buckets that mark the two earlier categories."""
+
+    columns: dict[int, int]
+    strong: tuple[frozenset[int], frozenset[int]]
+
+    def design(self, hits: list[list[int]]) -> Design:
+        return Design.of([sorted({self.columns[b] for b in h if b in self.columns}) for h in hits], len(self.columns))
+
+    def marks(self, hits: list[list[int]], y: np.ndarray) -> np.ndarray:
+        """One column a category."""
+        earlier = [np.array([not s.isdisjoint(h) for h in hits], bool) & y for s in self.strong]
+        return np.stack([*earlier, y], 1).astype(float)
+
+
+def fit_chain(hits: list[list[int]], y: np.ndarray, fold: np.ndarray, choices: list[Choice]) -> Chain:
+    """Fit one model a category.
+
+    ``choices[k]`` was made without fold k, the last one with all folds.  In
+    fold k's rows the earlier categories' probabilities come from models and
+    choices that never saw fold k.
+    """
+    known = np.empty((len(y), 0))
+    sides = []
+    for k in range(FOLDS):
+        rest = fold != k
+        own = [h for h, r in zip(hits, rest) if r]
+        sides.append((rest, choices[k].design(own), choices[k].marks(own, y[rest]), choices[k].design([h for h, r in zip(hits, rest) if not r])))
+    x, marks = choices[-1].design(hits), choices[-1].marks(hits, y)
     weights = []
-    for y in labels.T.astype(float):
-        both = x.with_dense(known)
-        weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
+    for c in range(len(CATEGORIES)):
         out = np.zeros(len(y))
-        for k in range(FOLDS):
-            rest = fold != k
-            own = logistic(both.take(rest), y[rest], weight[rest]) if rest.any() else np.zeros(both.columns)
-            out[~rest] = sigmoid(both.take(~rest).dot(own))
-        weights.append(logistic(both, y, weight))
+        for rest, inner, labels, held in sides:
+            w = logistic(inner.with_dense(known[rest]), labels[:, c], _balance(labels[:, c])) if rest.any() else np.zeros(inner.columns + c)
+            out[~rest] = sigmoid(held.with_dense(known[~rest]).dot(w))
+        weights.append(logistic(x.with_dense(known), marks[:, c], _balance(marks[:, c])))
         known = np.concatenate([known, out[:, None]], 1)
-    return Chain(columns, tuple(weights))
+    return Chain(choices[-1].columns, tuple(weights))
+
+
+def _balance(y: np.ndarray) -> np.ndarray:
+    return np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, label_col: str) -> DataFrame:
@@ -88,41 +125,52 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic") -> Chain | None:
     """Fit the chain; None if the sample does not have both classes.
 
-    The first two categories are marked in the sample itself: a document has
-    an abusive word (stem) if it has a word (stem) that at least five toxic
-    documents share and that is far commoner in toxic ones.
+    Labels with null ids or values are passed over; of several labels of one
+    document the largest counts, and of several texts of one id the largest.
     """
-    sample = _sample(docs, labels, id_col, text_col, label_id, label_col)
-    size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not size.get(0) or not size.get(1):
+    sample = _sample(docs, labels, id_col, text_col, label_id, label_col).withColumn("fold", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(FOLDS)).cast("int"))
+    size: dict[tuple[int, bool], int] = {}
+    for r in sample.groupBy("fold", (F.col("y") > 0).alias("bad")).agg(F.count(F.lit(1)).alias("n")).collect():
+        size[r["fold"], r["bad"]] = r["n"]
+    if {bad for _, bad in size} != {False, True}:
         return None
 
     def count(batches):
         for batch in batches:
-            seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[1 if y else 0].update({f for w in words_of(text) for f in features_of(w)})
-            keys = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([seen[y][k] for k in keys], pa.int64()) for y in (0, 1))], ["kind", "bucket", "clean", "toxic"])
-
-    counted = sample.select("text", "y").mapInArrow(count, "kind string, bucket long, clean long, toxic long").groupBy("kind", "bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    p, q = F.col("toxic") / size[1], F.col("clean") / size[0]
-    pooled = (F.col("toxic") + F.col("clean")) / (size[0] + size[1])
-    z = (p - q) / F.sqrt(pooled * (1 - pooled) * (1 / size[1] + 1 / size[0]) + 1e-12)
-    chosen = counted.where("toxic + clean >= 5").withColumn("z", z).orderBy(F.abs(F.col("z")).desc(), "kind", "bucket").limit(FEATURES).collect()
-    columns = {b: i for i, b in enumerate(dict.fromkeys(r["bucket"] for r in chosen))}
-    strong = [{r["bucket"] for r in chosen if r["kind"] == kind and r["toxic"] >= 5 and r["z"] > 4 and r["toxic"] * size[0] >= 10 * (r["clean"] + 1) * size[1]} for kind in ("word", "stem")]
+            seen: Counter = Counter()
+            for text, y, fold in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                side = 2 * fold + (y > 0)
+                seen.update((*f, side) for f in {f for w in words_of(text) for f in features_of(w)})
+            columns = zip(*((*k, n) for k, n in seen.items())) if seen else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int64()))], ["kind", "bucket", "side", "n"])
+
+    counted = sample.select("text", "y", "fold").mapInArrow(count, "kind string, bucket long, side int, n long")
+    sides = [F.sum(F.when(F.col("side") == i, F.col("n")).otherwise(0)).alias(f"s{i}") for i in range(2 * FOLDS)]
+    counted = materialize(counted.groupBy("kind", "bucket").agg(*sides), "feature-counts")
+
+    def choose(without: int | None) -> Choice:
+        folds = [k for k in range(FOLDS) if k != without]
+        bad_n, good_n = (max(1, sum(size.get((k, bad), 0) for k in folds)) for bad in (True, False))
+        bad, good = (functools.reduce(operator.add, [F.col(f"s{2 * k + i}") for k in folds]) for i in (1, 0))
+        rows = counted.select("kind", "bucket", bad.alias("toxic"), good.alias("clean"))
+        p, q = F.col("toxic") / bad_n, F.col("clean") / good_n
+        pooled = (F.col("toxic") + F.col("clean")) / (bad_n + good_n)
+        z = (p - q) / F.sqrt(pooled * (1 - pooled) * (1 / bad_n + 1 / good_n) + 1e-12)
+        chosen = rows.where("toxic + clean >= 5").withColumn("z", z).orderBy(F.abs(F.col("z")).desc(), "kind", "bucket").limit(FEATURES).collect()
+        columns = {b: i for i, b in enumerate(dict.fromkeys(r["bucket"] for r in chosen))}
+        strong = [frozenset(r["bucket"] for r in chosen if r["kind"] == kind and r["toxic"] >= 5 and r["z"] > 4 and r["toxic"] * good_n >= 10 * (r["clean"] + 1) * bad_n) for kind in ("word", "stem")]
+        return Choice(columns, tuple(strong))
+
+    choices = [choose(k) for k in [*range(FOLDS), None]]
+    wanted = frozenset(b for c in choices for b in c.columns)
 
     def found(batches):
         for batch in batches:
-            hit = [sorted({columns[b] for w in words_of(t) for _, b in features_of(w) if b in columns}) for t in batch.column(0).to_pylist()]
+            hit = [sorted({b for w in words_of(t) for _, b in features_of(w) if b in wanted}) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(hit, pa.list_(pa.int32())), batch.column(1), batch.column(2)], ["hit", "y", "fold"])
 
-    rows = sample.orderBy("id").select("text", "y", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(FOLDS)).alias("fold")).mapInArrow(found, "hit array<int>, y int, fold long").collect()
-    x = Design.of([r["hit"] for r in rows], len(columns))
-    marks = [np.array([not {columns[b] for b in s}.isdisjoint(r["hit"]) for r in rows]) for s in strong]
-    y = np.array([r["y"] > 0 for r in rows])
-    return fit_chain(x, np.stack([*(m & y for m in marks), y], 1), np.array([r["fold"] for r in rows]), columns)
+    rows = sample.orderBy("id").select("text", "y", "fold").mapInArrow(found, "hit array<int>, y int, fold int").collect()  # at most LABELLED
+    return fit_chain([r["hit"] for r in rows], np.array([r["y"] > 0 for r in rows]), np.array([r["fold"] for r in rows]), choices)
 
 
 class _Finder:
@@ -168,7 +216,8 @@ def score(df: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col:
     """``doc_id``, a probability for each category, and ``toxic``: the last one reaches ``limit``.
 
     Whole texts are scored; null and empty ones have no features and are not
-    toxic.  Without a chain (no labels of both classes) nothing is.
+    toxic.  Without a chain (no labels of both classes) nothing is.  Repeated
+    rows each get their own result; an empty table gives an empty result.
     """
     rows = pick(df, doc_id=id_col, text=text_col).select("text", "doc_id")
     out = _scored(rows.withColumn("blank", F.coalesce(F.trim("text"), F.lit("")) == ""), chain)

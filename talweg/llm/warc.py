@@ -2,8 +2,10 @@
 
 ARC version 1 record lines have five fields (URL, IP, date, type, length),
 version 2 lines ten; the archive's own first record (``filedesc://``) says
-which.  Records are cut by their declared lengths.  The converter synthesises
-what ARC lacks: record ids, WARC timestamps, record types and payload digests.
+which.  Records are cut by their declared lengths; archives may be gzipped,
+record by record or whole, and a damaged record does not lose the others.  The
+converter synthesises what ARC lacks: record ids, WARC timestamps, record types
+and payload digests.
 
 Archives are rows (name, content); a WARC row holds gzip members, one a
 record, of about ``ARCHIVE`` bytes.  Executors write and read them through
@@ -23,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm._common import materialize, pick, scratch_path
-from talweg.llm._common import spread_join
+from talweg.llm._common import materialize, pick, scratch_path, spread_join
 from talweg.llm.bpe import slices
+from talweg.llm.exact_dedup import bit_array, flag
 
 #: Bytes of records to an archive, about.
 ARCHIVE = 4_000_000
@@ -35,6 +37,10 @@ ARC_FIELDS = {
     2: ("url", "ip", "date", "type", "status", "checksum", "location", "offset", "filename", "length"),
 }
 _DATE = "20260101000000"
+#: Bytes inflated at a time.
+PIECE = 1 << 16
+#: A record line behind a line break: URL, IP address and a date of 14 digits; the last field is the length.
+_ARC_LINE = re.compile(rb"\n([a-z][a-z0-9+.-]*:\S* \d+\.\d+\.\d+\.\d+ \d{14} [^\n]*\d\r?)(?=\n)")
 RECORDS = "source_id string, record_id string, record_type string, uri string, date string, refers_to string, payload_digest string, payload_bytes long"
 
 
@@ -53,39 +59,89 @@ def arc_record(url: str, block: bytes, version: int = 1, ip: str = "0.0.0.0", da
     return b" ".join([safe, ip.encode(), date.encode(), kind.encode(), *dashes, str(len(block)).encode()]) + b"\n" + block + b"\n"
 
 
-def parse_arc(content: bytes) -> Iterator[dict]:
-    """Records of an archive: the fields of its version, and ``block``.
-
-    A broken record line ends the archive with ValueError; line breaks between
-    records may be missing or several.
+def members(content: bytes) -> Iterator[bytes]:
+    """The gzip members of an archive, inflated one by one; content that is not gzip is one member.  Time grows with the length alone."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    view, at = memoryview(content), 0
+    while at < len(content) and content[at : at + 2] == b"\x1f\x8b":
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            if at >= len(content):
+                raise ValueError("gzip member is cut off")
+            fed = view[at : at + PIECE]
+            try:
+                parts.append(member.decompress(fed))
+            except zlib.error as e:
+                raise ValueError(f"damaged gzip member before byte {at + len(fed)}: {e}") from e
+            at += len(fed) - len(member.unused_data)
+        yield b"".join(parts)
+    if content[at : at + 1].strip(b"\0"):
+        raise ValueError(f"no gzip member at byte {at}")
+
+
+def parse_arc(content: bytes, strict: bool = True) -> Iterator[dict]:
+    """Records of an archive, gzipped or not: the fields of its version, and ``block``.
+
+    Line breaks between records may be missing or several.  A damaged record
+    raises ValueError if ``strict``; otherwise it comes out as ``{"error": ...}``
+    and reading goes on at the next record line.  The archive's own record says
+    which version holds.
     """
-    at, version = 0, None
-    while at < len(content):
-        if content[at : at + 1] in b"\r\n":
-            at += 1
-            continue
-        end = content.find(b"\n", at)
-        line = content[at : end if end >= 0 else len(content)].rstrip(b"\r")
-        fields = line.split(b" ")
-        if end < 0 or not fields[-1].isdigit():
-            raise ValueError(f"no ARC record line at byte {at}")
-        block = content[end + 1 : end + 1 + int(fields[-1])]
-        if len(block) != int(fields[-1]):
-            raise ValueError(f"record at byte {at} is cut off")
-        if version is None:
-            version = 2 if block[:1] == b"2" else 1
-        names = ARC_FIELDS[version]
-        if len(fields) < len(names):
-            raise ValueError(f"{len(fields)} fields at byte {at}, version {version} has {len(names)}")
-        # An unescaped space in a URL makes more fields: the URL is what is left of the others.
-        head = len(fields) - len(names) + 1
-        values = [b" ".join(fields[:head]), *fields[head:]]
-        at = end + 1 + len(block)
-        yield {n: v.decode("utf-8", "replace") for n, v in zip(names, values)} | {"block": block}
-
-
-def record_id(source: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'talweg-arc:' + source)}>"
+    version: int | None = None
+    parts = members(content)
+    while True:
+        try:
+            part = next(parts, None)
+        except ValueError as e:
+            if strict:
+                raise
+            yield {"error": str(e)}
+            return
+        if part is None:
+            return
+        at = 0
+        while at < len(part):
+            if part[at : at + 1] in b"\r\n":
+                at += 1
+                continue
+            try:
+                record, at, version = _arc_record_at(part, at, version)
+                yield record
+            except ValueError as e:
+                if strict:
+                    raise
+                yield {"error": str(e)}
+                found = _ARC_LINE.search(part, part.find(b"\n", at) if b"\n" in part[at:] else len(part))
+                at = found.start(1) if found else len(part)
+
+
+def _arc_record_at(content: bytes, at: int, version: int | None) -> tuple[dict, int, int]:
+    """The record at ``at``, where the next one can begin, and the version."""
+    end = content.find(b"\n", at)
+    line = content[at : end if end >= 0 else len(content)].rstrip(b"\r")
+    fields = line.split(b" ")
+    if end < 0 or not fields[-1].isdigit():
+        raise ValueError(f"no ARC record line at byte {at}")
+    block = content[end + 1 : end + 1 + int(fields[-1])]
+    if len(block) != int(fields[-1]):
+        raise ValueError(f"record at byte {at} is cut off")
+    if version is None:
+        version = 2 if block[:1] == b"2" else 1
+    names = ARC_FIELDS[version]
+    if len(fields) < len(names):
+        raise ValueError(f"{len(fields)} fields at byte {at}, version {version} has {len(names)}")
+    # An unescaped space in a URL makes more fields: the URL is what is left of the others.
+    head = len(fields) - len(names) + 1
+    values = [b" ".join(fields[:head]), *fields[head:]]
+    return {n: v.decode("utf-8", "replace") for n, v in zip(names, values)} | {"block": block}, end + 1 + len(block), version
+
+
+def record_id(*parts: str | None) -> str:
+    """A record's id: the same parts always give the same id."""
+    name = "talweg-arc:" + "\0".join("" if p is None else p for p in parts)
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
 def digest(payload: bytes) -> str:
@@ -100,23 +156,28 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
     return (block[: cut.end()], block[cut.end() :]) if cut else (block, b"")
 
 
-def to_warc(record: dict, source: str, refers_to: str | None = None) -> bytes:
-    """One gzip member for an ARC record.  With ``refers_to`` it is a revisit: the head stays, the payload goes."""
+def to_warc(record: dict, source: str, refers_to: str | None = None, copy: str = "") -> bytes:
+    """One gzip member for an ARC record.  With ``refers_to`` it is a revisit: the head stays, the payload goes.
+
+    A response's id comes from its source and digest; a revisit's also from
+    its URL and ``copy``, which tells equal revisits apart.
+    """
     head, payload = split_http(record["block"])
-    d = record["date"].ljust(14, "0")
+    own = digest(payload)
+    d = re.sub(r"\D", "", record["date"]).ljust(14, "0")
     fields = {
         "WARC-Type": "revisit" if refers_to is not None else "response" if head else "resource",
-        "WARC-Record-ID": record_id(source),
+        "WARC-Record-ID": record_id(source, own) if refers_to is None else record_id(source, own, record["url"], copy),
         "WARC-Date": f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
         "WARC-Target-URI": record["url"],
         "WARC-IP-Address": record["ip"],
-        "WARC-Payload-Digest": f"sha1:{digest(payload)}",
+        "WARC-Payload-Digest": f"sha1:{own}",
         "X-Source-Id": source,
     }
     block = record["block"]
     if refers_to is not None:
         block = head
-        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(refers_to), "X-Refers-To-Source-Id": refers_to}
+        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(refers_to, own), "X-Refers-To-Source-Id": refers_to}
     fields |= {"WARC-Block-Digest": f"sha1:{digest(block)}", "Content-Type": "application/http; msgtype=response" if head else record["type"], "Content-Length": str(len(block))}
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n"
     press = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -124,14 +185,8 @@ def to_warc(record: dict, source: str, refers_to: str | None = None) -> bytes:
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict, bytes]]:
-    """Header fields (lower-case names) and block of each record, of gzip members or of plain bytes."""
-    while content:
-        if content[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            raw = member.decompress(content) + member.flush()
-            content = member.unused_data
-        else:
-            raw, content = content, b""
+    """Header fields (lower-case names) and block of each record, of gzip members or of plain bytes; damage raises ValueError."""
+    for raw in members(content):
         at = 0
         while at < len(raw):
             end = raw.find(b"\r\n\r\n", at)
@@ -179,30 +234,34 @@ def http_block(payload: bytes) -> bytes:
 
 
 def write_warc(rows: DataFrame, path: str | None = None, version: int = 1) -> DataFrame:
-    """Write ``source, url, html, refers_to`` as ARC records, convert them, and store WARC archives.
+    """Write ``source, url, html, refers_to, copy`` as ARC records, convert them, and store WARC archives.
 
-    Returns the stored table (name, content).
+    Returns the stored table (name, content).  Names hold the number of the
+    partition and of the archive in it, so each archive has its own.
     """
-    rows = rows.select("source", "url", "refers_to", "html")
+    rows = rows.select("source", "url", "refers_to", "copy", "html")
 
     def run(batches):
+        from pyspark import TaskContext
+
         held, size, n = [], 0, 0
+        part = TaskContext.get().partitionId()
+        archive = lambda: pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{n:05d}.warc.gz"]), pa.array([b"".join(held)], pa.binary())], ["name", "content"])
         for whole in batches:
             for batch in slices(whole, "html", ARCHIVE):
-                name = f"part-{n}.arc"
                 cells = batch.to_pylist()
-                arc = arc_header(name, version) + b"".join(arc_record(x["url"] or "", http_block((x["html"] or "").encode("utf-8", "surrogatepass")), version) for x in cells)
+                arc = arc_header(f"part-{part:05d}-{n:05d}.arc", version) + b"".join(arc_record(x["url"] or "", http_block((x["html"] or "").encode("utf-8", "surrogatepass")), version) for x in cells)
                 records = parse_arc(arc)
                 next(records)
                 for x, record in zip(cells, records, strict=True):
-                    member = to_warc(record, x["source"], x["refers_to"])
+                    member = to_warc(record, x["source"], x["refers_to"], str(x["copy"]))
                     held.append(member)
                     size += len(member)
                     if size >= ARCHIVE:
-                        yield pa.RecordBatch.from_arrays([pa.array([f"part-{n}.warc.gz"]), pa.array([b"".join(held)], pa.binary())], ["name", "content"])
+                        yield archive()
                         held, size, n = [], 0, n + 1
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([f"part-{n}.warc.gz"]), pa.array([b"".join(held)], pa.binary())], ["name", "content"])
+            yield archive()
 
     spark: SparkSession = rows.sparkSession
     path = path or scratch_path(spark, "warc")
@@ -210,39 +269,69 @@ def write_warc(rows: DataFrame, path: str | None = None, version: int = 1) -> Da
     return spark.read.schema("name string, content binary").parquet(path)
 
 
-def convert_arc(archives: DataFrame, content_col: str = "content") -> DataFrame:
-    """WARC archives (name, content) of ARC archives (as read by ``binaryFile``); one WARC row for each.
+def convert_arc(archives: DataFrame, content_col: str = "content", path_col: str = "path") -> DataFrame:
+    """WARC archives ``name, content, error`` of ARC archives (as read by ``binaryFile``), gzipped or not.
 
-    Source ids are ``name:record number``.
+    Each archive gives one row with the records that could be read (null
+    content counts as empty, a null path as ``archive``), and one more row,
+    without content, for each damaged place, with what is wrong there in
+    ``error``.  Source ids are ``name:record number``.  An empty table gives an
+    empty result.
     """
-    name = F.col("path") if "path" in archives.columns else F.lit("archive")
-    rows = archives.select(name.alias("name"), F.col(content_col).alias("content"))
+    name = F.col(path_col) if path_col in archives.columns else F.lit(None).cast("string")
+    rows = archives.select(F.coalesce(name, F.lit("archive")).alias("name"), F.col(content_col).alias("content"))
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                records = parse_arc(row["content"] or b"")
-                next(records, None)
-                out = b"".join(to_warc(r, f"{row['name']}:{i}") for i, r in enumerate(records))
-                yield pa.RecordBatch.from_arrays([pa.array([re.sub(r"\.arc(\.gz)?$", "", row["name"]) + ".warc.gz"]), pa.array([out], pa.binary())], ["name", "content"])
+                good, errors, i = [], [], 0
+                for record in parse_arc(bytes(row["content"] or b""), strict=False):
+                    if "error" in record:
+                        errors.append(record["error"])
+                    elif not record["url"].startswith("filedesc://"):
+                        good.append(to_warc(record, f"{row['name']}:{i}"))
+                        i += 1
+                name = re.sub(r"\.arc(\.gz)?$", "", row["name"]) + ".warc.gz"
+                columns = [[name] * (1 + len(errors)), [b"".join(good), *[None] * len(errors)], [None, *errors]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.string()))], ["name", "content", "error"])
 
-    return rows.mapInArrow(run, "name string, content binary")
+    return rows.mapInArrow(run, "name string, content binary, error string")
 
 
 def archive_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", version: int = 1) -> DataFrame:
     """Write one WARC record per row, read the archives back: the rows of :func:`read_warc`.
 
-    Of rows with equal payloads the one with the largest id is a response and
-    the others revisit it; null html counts as empty.  Of repeated rows (equal
-    id and payload) one is the response.  A null id is smaller than any other.
+    Of rows with equal payloads the one with the largest id (then URL) is a
+    response and the others revisit it; null html counts as empty.  Of rows
+    with equal id, URL and payload one is the response.  A null id is smaller
+    than any other.  An empty table gives an empty result; other columns are
+    ignored.  Rows are told apart by what they hold, not by their order, so the
+    input may come in another order when a task runs again.
     """
-    rows = pick(df, id=id_col, url=url_col, html=html_col).withColumn("seq", F.monotonically_increasing_id())
+    rows = pick(df, id=id_col, url=url_col, html=html_col)
     key = F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    small = materialize(rows.select("id", "seq", key.alias("key")), "payload-keys")
-    groups = small.groupBy("key").agg(F.max(F.struct("id", "seq")).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    address = F.xxhash64(F.col("url"), F.lit(3))
+    small = rows.select("id", address.alias("address"), key.alias("key")).groupBy("key", "id", "address").agg(F.count(F.lit(1)).alias("times"))
+    small = materialize(small, "payload-keys")
+    total, again = small.agg(F.coalesce(F.sum("times"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("times") > 1, 1)), F.lit(0))).first()
+    groups = small.groupBy("key").agg(F.max(F.struct("id", "address")).alias("keep"), F.sum("times").alias("n")).where("n > 1")
     groups = materialize(groups, "payload-groups")
-    again = spread_join(small, groups, "key", "n", small.count(), [F.col("seq")], "inner")
-    again = materialize(again.where(F.col("seq") != F.col("keep.seq")).select(F.col("seq").alias("at"), F.col("keep.id").cast("string").alias("refers_to")), "revisits")
-    marked = rows.join(again.hint("shuffle_hash"), rows["seq"] == again["at"], "left")
-    marked = marked.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("source"), "url", F.when(F.col("at").isNotNull(), F.coalesce("refers_to", F.lit(""))).alias("refers_to"), "html")
+    marks = spread_join(small, groups, "key", "n", total, [F.col("id"), F.col("address")], "inner")
+    same = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("address") == F.col("keep.address"))
+    sign = lambda k: F.unhex(F.sha2(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("-")), address if k is None else F.col("address"), F.hex(key if k is None else k)), 256))
+    marks = materialize(marks.select(sign(F.col("key")).alias("at"), F.coalesce(F.col("keep.id").cast("string"), F.lit("")).alias("to"), same.alias("first"), "times"), "payload-marks")
+    signed = rows.withColumn("sign", sign(None))
+    if again:
+        # Whole rows that repeat: each is brought together once, and its copies are numbered and dealt out again.
+        repeats = materialize(marks.where("times > 1").select("at"), "repeated-rows")
+        flagged = flag(signed, "sign", *bit_array(repeats, "at", again, 1))
+        once = flagged.where(~F.col("possible")).drop("possible").withColumn("copy", F.lit(0).cast("long"))
+        many = flagged.where("possible").groupBy("sign").agg(F.first("id").alias("id"), F.first("url").alias("url"), F.first("html").alias("html"), F.count(F.lit(1)).alias("m"))
+        many = many.select("id", "url", "html", "sign", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("copy")).repartition("sign", "copy")
+        signed = once.select("id", "url", "html", "sign", "copy").unionByName(many)
+    else:
+        signed = signed.withColumn("copy", F.lit(0).cast("long"))
+    joined = spread_join(signed, marks.withColumnRenamed("at", "sign"), "sign", "times", total, [F.col("copy")]) if again else signed.join(marks.hint("shuffle_hash"), signed["sign"] == marks["at"], "left")
+    revisit = F.col("to").isNotNull() & ~(F.col("first") & (F.col("copy") == 0))
+    marked = joined.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("source"), "url", F.when(revisit, F.col("to")).alias("refers_to"), "copy", "html")
     return read_warc(write_warc(marked, version=version))
