@@ -19,6 +19,11 @@ def mask_invalid(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
 
 
+def valid(value: Column) -> Column:
+    """Whether a cell has a value."""
+    return value.isNotNull()
+
+
 def mask_where(condition: Column, value: Column) -> Column:
     return F.when(~F.coalesce(condition, F.lit(False)), value)
 
@@ -102,18 +107,15 @@ def class_area(landcover: Column, key: int, csx: float, csy: float) -> Column:
     return F.when(landcover == F.lit(key), F.lit(csx * csy)).otherwise(F.when(landcover.isNotNull(), F.lit(0.0)))
 
 
-def front_contains(x1: Column, y1: Column, x2: Column, y2: Column, tx: Column, ty: Column) -> Column:
-    """Whether the test point lies on the far side of the line through point 1 at right angles to the direction to point 2.
+def near_side(x1, y1, x2, y2, tx, ty):
+    """Whether the test point lies on point 1's side of the line through point 2 at right angles to the way from point 1 to point 2, or on that line.
 
-    Axis-aligned directions compare one coordinate only.
+    Works on columns and on numbers.  Where both points are the same every point does.
     """
-    angle = F.atan((y2 - y1) / F.nullif(x2 - x1, F.lit(0.0)))
-    slanted = (F.signum(x2 - x1) * ((tx - x1) * F.cos(angle) + (ty - y1) * F.sin(angle))) >= 0
-    return (
-        F.when(x1 == x2, F.when(y2 > y1, ty >= y1).otherwise(ty <= y1))
-        .when(y1 == y2, F.when(x2 > x1, tx >= x1).otherwise(tx <= x1))
-        .otherwise(slanted)
-    )
+    return (tx - x2) * (x2 - x1) + (ty - y2) * (y2 - y1) <= 0
+
+
+front_contains = near_side
 
 
 def reach_class(gradient: Column, width: Column, lake: Column, stream: Column, gradient_step: float = 2.0, width_step: float = 2.0, widest: float = 1000.0) -> Column:

@@ -1,82 +1,273 @@
 """Interpolation from observed points (oid, ox, oy, z) to points (pid, px, py).
 
-Neighbours are searched through a hash grid: each prediction asks the rings of
-buckets around it until no nearer observation can be outside them.  Small sets
-of observations (their number is counted, at most ``SMALL``) are broadcast.
+Neighbours are searched in buckets: a prediction looks at the observations of
+its own bucket and the eight around it, and is done if its k-th neighbour is
+nearer than anything outside them can be.  The few that are not done ask again
+in buckets four times as wide.  A task works on one bucket with numpy and
+passes on what it made of the neighbours, not the pairs.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from talweg.plans.graph import cut
 
-SMALL = 20_000
-
-
-def _d2() -> Column:
-    return F.pow(F.col("px") - F.col("ox"), F.lit(2)) + F.pow(F.col("py") - F.col("oy"), F.lit(2))
-
-
-def _best(pairs: DataFrame, k: int) -> DataFrame:
-    near = Window.partitionBy("pid").orderBy("d2", "oid")
-    return pairs.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
-
-
-def nearest(pred: DataFrame, obs: DataFrame, k: int) -> DataFrame:
-    """(pid, px, py, oid, ox, oy, z, d2, rank): the k nearest observations, ties to the smaller oid."""
+#: Observations and predictions of a bucket that one task compares, about.
+BLOCK = 200_000
+#: Pairs held at a time.
+HELD = 4_000_000
+Fold = Callable[[pa.Table, pa.Table, np.ndarray, np.ndarray], pa.Table]
+
+
+def _closest(x: np.ndarray, y: np.ndarray, ox: np.ndarray, oy: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest observations of each point (the first of equal ones first) and their squared distances."""
+    d2 = (x[:, None] - ox[None, :]) ** 2 + (y[:, None] - oy[None, :]) ** 2
+    if d2.shape[1] > 4 * k:
+        kth = np.partition(d2, k - 1, axis=1)[:, k - 1 : k]
+        width = int((d2 <= kth).sum(axis=1).max())
+        some = np.sort(np.argpartition(d2, width - 1, axis=1)[:, :width], axis=1)
+        near = np.take_along_axis(d2, some, axis=1)
+        order = np.argsort(near, axis=1, kind="stable")[:, :k]
+        return np.take_along_axis(some, order, axis=1), np.take_along_axis(near, order, axis=1)
+    order = np.argsort(d2, axis=1, kind="stable")[:, :k]
+    return order, np.take_along_axis(d2, order, axis=1)
+
+
+def with_neighbours(pred: DataFrame, obs: DataFrame, k: int, fold: Fold, out: list[StructField]) -> DataFrame:
+    """``fold`` of every prediction and its k nearest observations, ties to the smaller oid.
+
+    ``fold`` gets the predictions of a task, its observations, and for each
+    prediction the rows of its neighbours, the nearest first, with their squared
+    distances; it returns rows whose first columns are those of ``pred``.
+    """
     if k < 1:
         raise ValueError("k must be positive")
     n, x0, x1, y0, y1 = obs.agg(F.count(F.lit(1)), F.min("ox"), F.max("ox"), F.min("oy"), F.max("oy")).first()
     if not n:
         raise ValueError("no observations")
-    if n <= SMALL:
-        return _best(pred.crossJoin(F.broadcast(obs)).withColumn("d2", _d2()), k)
-    # Buckets of about 2k observations; rings grow until all predictions are sure of their k-th neighbour.
-    side = max(math.sqrt(max((x1 - x0) * (y1 - y0), 1e-12) * 2 * k / n), 1e-9)
-    bucket = lambda x, y: (F.floor((F.col(x) - x0) / side).alias("bx"), F.floor((F.col(y) - y0) / side).alias("by"))
-    placed = cut(obs.select("*", *bucket("ox", "oy")))
-    open_, done, ring = cut(pred), None, 1
     k = min(k, n)
-    reach = math.hypot(x1 - x0, y1 - y0) / side + 2
-    while not open_.isEmpty():
-        asked = open_.select("*", *bucket("px", "py"))
-        asked = asked.withColumn("bx", F.explode(F.sequence(F.col("bx") - ring, F.col("bx") + ring))).withColumn("by", F.explode(F.sequence(F.col("by") - ring, F.col("by") + ring)))
-        found = cut(_best(asked.join(placed, ["bx", "by"]).drop("bx", "by").withColumn("d2", _d2()), k))
-        sure = found.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.max("d2").alias("far")).where((F.col("n") == k) & (F.col("far") <= (ring * side) ** 2)).select("pid")
-        good = found.join(sure, "pid", "left_semi")
+    extent = max(x1 - x0, y1 - y0)
+    side = max(math.sqrt(max((x1 - x0) * (y1 - y0), extent * extent * 1e-6, 1e-12) * 2 * k / n), extent * 1e-7, 1e-9)
+    obs = cut(obs.select("oid", "ox", "oy", "z"))
+    columns = pred.columns
+    schema = StructType([*pred.schema.fields, *out, StructField("_sure", BooleanType())])
+    types = {f.name: to_arrow_type(f.dataType) for f in schema.fields}
+
+    def searcher(edge: float, mine: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        def search(left: pa.Table, right: pa.Table) -> pa.Table:
+            own = right.take(pc.sort_indices(right.column("oid"))) if len(right) else right
+            ox, oy = (own.column(c).to_numpy() for c in ("ox", "oy"))
+            parts = []
+            size = max(1, HELD // max(1, len(own)))
+            for i in range(0, len(left), size):
+                t = left.slice(i, size)
+                x, y = (t.column(c).to_numpy().astype(float) for c in ("px", "py"))
+                sure = np.full(len(t), mine)
+                if len(own) >= k:
+                    rows, d2 = _closest(x, y, ox, oy, k)
+                    if not mine:
+                        bx, by = t.column("_bx").to_numpy(), t.column("_by").to_numpy()
+                        gap = np.min([x - (x0 + (bx - 1) * edge), x0 + (bx + 2) * edge - x, y - (y0 + (by - 1) * edge), y0 + (by + 2) * edge - y], axis=0)
+                        sure = (gap > 0) & (d2[:, -1] < np.maximum(gap, 0) ** 2)
+                    good = fold(t.filter(pa.array(sure)).select(columns), own, rows[sure], d2[sure])
+                    parts.append(good.append_column("_sure", pa.array(np.ones(len(good), bool))))
+                else:
+                    sure = np.zeros(len(t), bool)
+                rest = t.filter(pa.array(~sure)).select(columns)
+                for f in schema.fields[len(columns) :]:
+                    rest = rest.append_column(f.name, pa.array(np.zeros(len(rest), bool)) if f.name == "_sure" else pa.nulls(len(rest), types[f.name]))
+                parts.append(rest)
+            return pa.concat_tables([p.cast(parts[-1].schema) for p in parts]) if parts else pa.table({f.name: pa.array([], types[f.name]) for f in schema.fields})
+
+        return search
+
+    bucket = lambda v, lo: F.floor((F.col(v) - lo) / side).cast("long")
+    open_, done = pred, None
+    while True:
+        whole = side >= extent  # then nine buckets hold everything in reach of the middle one
+        inside = lambda v, lo, hi: F.least(F.greatest(bucket(v, lo), F.lit(0)), F.lit(int((hi - lo) // side)))
+        asked = open_.withColumn("_bx", inside("px", x0, x1)).withColumn("_by", inside("py", y0, y1))
+        around = lambda v, lo: F.explode(F.sequence(bucket(v, lo) - 1, bucket(v, lo) + 1))
+        near = obs.withColumn("_bx", around("ox", x0)).withColumn("_by", around("oy", y0))
+        if done is not None:
+            near = near.join(asked.select("_bx", "_by").distinct(), ["_bx", "_by"], "left_semi")
+        # Many predictions in a bucket are dealt over several tasks.
+        salts = max(1, math.ceil(pred.count() * 2 * k / n / BLOCK)) if done is None else 1
+        asked = asked.withColumn("_s", F.pmod(F.xxhash64("px", "py"), F.lit(salts)).cast("int"))
+        near = near.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        keys = ("_bx", "_by", "_s")
+        found = cut(asked.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(searcher(side, whole), schema))
+        good = found.where("_sure").drop("_sure")
         done = good if done is None else done.unionByName(good)
-        open_ = cut(open_.join(sure, "pid", "left_anti"))
-        ring *= 2
-        if ring > 64 or ring > reach:  # far from all observations: the rest by blocks against all
-            rest = _best(open_.join(placed.drop("bx", "by")).withColumn("d2", _d2()), k)
-            return done.unionByName(rest)
-    return _best(open_.join(placed.drop("bx", "by")).withColumn("d2", _d2()), k) if done is None else done
+        open_ = found.where("not _sure").select(*columns)
+        if whole or open_.isEmpty():
+            return done
+        side *= 4
+
+
+def _doubles(*names: str) -> list[StructField]:
+    return [StructField(n, DoubleType()) for n in names]
+
+
+def nearest(pred: DataFrame, obs: DataFrame, k: int) -> DataFrame:
+    """(pid, px, py, oid, ox, oy, z, d2, rank): the k nearest observations, ties to the smaller oid."""
+    def rows(t: pa.Table, own: pa.Table, near: np.ndarray, d2: np.ndarray) -> pa.Table:
+        m = near.shape[1]
+        out = t.take(pa.array(np.repeat(np.arange(len(t)), m)))
+        for c in ("oid", "ox", "oy", "z"):
+            out = out.append_column(c, own.column(c).take(pa.array(near.ravel())))
+        return out.append_column("d2", pa.array(d2.ravel())).append_column("rank", pa.array(np.tile(np.arange(1, m + 1, dtype=np.int32), len(t))))
+
+    kinds = {f.name: f for f in obs.schema.fields}
+    out = [StructField(c, kinds[c].dataType) for c in ("oid", "ox", "oy", "z")]
+    return with_neighbours(pred.select("pid", "px", "py"), obs, k, rows, [*out, *_doubles("d2"), StructField("rank", IntegerType())])
+
+
+def _values(pred: DataFrame, obs: DataFrame, k: int, f: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(pid, value): ``f`` of the neighbours' offsets (dx, dy), values and squared distances, one row a prediction."""
+
+    def fold(t: pa.Table, own: pa.Table, near: np.ndarray, d2: np.ndarray) -> pa.Table:
+        x, y = (t.column(c).to_numpy().astype(float) for c in ("px", "py"))
+        ox, oy, z = (own.column(c).to_numpy().astype(float)[near] for c in ("ox", "oy", "z"))
+        with np.errstate(all="ignore"):
+            value = f(ox - x[:, None], oy - y[:, None], z, d2) if len(t) else np.empty(0)
+        return t.append_column("value", pa.array(value, pa.float64(), mask=np.isnan(value)))
+
+    return with_neighbours(pred.select("pid", "px", "py"), obs, k, fold, _doubles("value")).select("pid", "value")
+
+
+def _inverse(dx: np.ndarray, dy: np.ndarray, z: np.ndarray, d2: np.ndarray) -> np.ndarray:
+    w = 1 / d2
+    return np.where(d2[:, 0] == 0, z[:, 0], (z * w).sum(axis=1) / w.sum(axis=1))
+
+
+def _thin_plate(dx: np.ndarray, dy: np.ndarray, z: np.ndarray, d2: np.ndarray) -> np.ndarray:
+    """Value at the origin of the thin-plate spline through the neighbours; IDW where they lie on a line or are too few."""
+    n, k = z.shape
+    size = np.sqrt(d2[:, -1:]) + 1e-12
+    x, y = dx / size, dy / size
+    r2 = (x[:, :, None] - x[:, None, :]) ** 2 + (y[:, :, None] - y[:, None, :]) ** 2
+    m = np.zeros((n, k + 3, k + 3))
+    m[:, :k, :k] = np.where(r2 > 0, r2 * np.log(r2 + (r2 == 0)), 0)
+    m[:, :k, k:] = np.stack([np.ones((n, k)), x, y], axis=2)
+    m[:, k:, :k] = m[:, :k, k:].transpose(0, 2, 1)
+    right = np.concatenate([z, np.zeros((n, 3))], axis=1)
+    plain = np.array([np.linalg.matrix_rank(p) == 3 for p in m[:, :k, k:]])
+    out = _inverse(dx, dy, z, d2)
+    if plain.any():
+        own = np.linalg.solve(m[plain], right[plain][:, :, None])[:, :, 0]
+        r2 = x[plain] ** 2 + y[plain] ** 2
+        out[plain] = (own[:, :k] * np.where(r2 > 0, r2 * np.log(r2 + (r2 == 0)), 0)).sum(axis=1) + own[:, k]
+    return np.where(d2[:, 0] == 0, z[:, 0], out)
+
+
+def thin_plate(pred: DataFrame, obs: DataFrame, k: int = 16) -> DataFrame:
+    """(pid, value): local thin-plate splines through the k nearest observations, which keep their values."""
+    return _values(pred, obs, k, _thin_plate)
+
+
+def _triangle(dx: np.ndarray, dy: np.ndarray, z: np.ndarray, reach: float) -> float | None:
+    """Linear interpolation at the origin in the triangle around it whose circumcircle holds no other neighbour; None if there is none.
+
+    NaN means that the circle leaves what the neighbours cover (``reach``).
+    """
+    order = min(len(dx), 14)
+    t = np.array(list(itertools.combinations(range(order), 3)))
+    if not len(t):
+        return None
+    ax, bx, cx = dx[t].T
+    ay, by, cy = dy[t].T
+    area = (bx - ax) * (cy - ay) - (cx - ax) * (by - ay)
+    with np.errstate(all="ignore"):
+        u, v, w = (bx * cy - cx * by) / area, (cx * ay - ax * cy) / area, (ax * by - bx * ay) / area
+        d = 2 * area
+        a2, b2, c2 = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+        ux = (a2 * (by - cy) + b2 * (cy - ay) + c2 * (ay - by)) / d
+        uy = (a2 * (cx - bx) + b2 * (ax - cx) + c2 * (bx - ax)) / d
+        r2 = (ax - ux) ** 2 + (ay - uy) ** 2
+        ok = (area != 0) & (u >= -1e-12) & (v >= -1e-12) & (w >= -1e-12)
+    for i in np.flatnonzero(ok)[np.argsort(r2[ok], kind="stable")]:
+        apart = (dx - ux[i]) ** 2 + (dy - uy[i]) ** 2
+        if (apart < r2[i] * (1 - 1e-9)).any():
+            continue
+        if math.hypot(ux[i], uy[i]) + math.sqrt(r2[i]) > reach:
+            return math.nan
+        return float(u[i] * z[t[i, 0]] + v[i] * z[t[i, 1]] + w[i] * z[t[i, 2]])
+    return None
+
+
+def linear(pred: DataFrame, obs: DataFrame, fill: float | None = None, k: int = 32) -> DataFrame:
+    """(pid, value): linear interpolation over the Delaunay triangles of the observations, ``fill`` outside their hull.
+
+    The triangle around a point is sought among its nearest observations; a
+    circle is known to be empty if it lies within the distance of the k-th.  A
+    point for which none is found among the k nearest counts as outside.
+    """
+    n = obs.count()
+
+    def run(dx: np.ndarray, dy: np.ndarray, z: np.ndarray, d2: np.ndarray) -> np.ndarray:
+        out = np.full(len(z), np.nan)
+        for i in range(len(z)):
+            got = float(z[i, 0]) if d2[i, 0] == 0 else _triangle(dx[i], dy[i], z[i], math.inf if k >= n else math.sqrt(d2[i, -1]))
+            out[i] = np.nan if got is None else got
+        return out
+
+    got = _values(pred, obs, k, run)
+    return got if fill is None else got.select("pid", F.coalesce("value", F.lit(float(fill))).alias("value"))
 
 
 def idw(pred: DataFrame, obs: DataFrame, k: int = 3) -> DataFrame:
     """(pid, value): inverse squared distances of the k nearest; an observation at the very point gives its value."""
-    near = nearest(pred, obs, k)
-    hit = F.min_by(F.when(F.col("d2") == 0, F.col("z")), F.when(F.col("d2") == 0, F.col("rank")))
-    w = 1 / F.nullif(F.col("d2"), F.lit(0.0))
-    return near.groupBy("pid").agg(F.coalesce(hit, F.sum(F.col("z") * w) / F.sum(w)).alias("value"))
+    return _values(pred, obs, k, _inverse)
 
 
 def full_idw(pred: DataFrame, obs: DataFrame) -> DataFrame:
-    """(pid, value): inverse squared distances of all observations, summed where the pairs are made."""
-    pairs = pred.crossJoin(F.broadcast(obs) if obs.count() <= SMALL else obs).withColumn("d2", _d2())
-    w = 1 / F.nullif(F.col("d2"), F.lit(0.0))
-    hit = F.min(F.when(F.col("d2") == 0, F.struct("oid", "z")))
-    return pairs.groupBy("pid").agg(F.coalesce(hit["z"], F.sum(F.col("z") * w) / F.sum(w)).alias("value"))
+    """(pid, value): inverse squared distances of all observations.
+
+    Every block of observations meets every block of predictions, by
+    definition; a task passes on sums, not pairs.  Of observations at the very
+    point that with the smallest oid gives its value.
+    """
+    n, m = obs.count(), pred.count()
+    blocks, groups = max(1, math.ceil(n / 8192)), max(1, math.ceil(m / 8192))
+    o = obs.select("oid", F.col("ox").cast("double").alias("ox"), F.col("oy").cast("double").alias("oy"), F.col("z").cast("double").alias("z"), F.pmod(F.xxhash64("oid"), F.lit(blocks)).cast("int").alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
+    p = pred.select("pid", F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py"), F.pmod(F.xxhash64("px", "py"), F.lit(groups)).cast("int").alias("_g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    kinds = {f.name: f.dataType for f in (*pred.schema.fields, *obs.schema.fields)}
+    schema = StructType([StructField("pid", kinds["pid"]), *_doubles("zw", "w"), StructField("oid", kinds["oid"]), *_doubles("z")])
+
+    def sums(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = right.take(pc.sort_indices(right.column("oid")))
+        ox, oy, z = (own.column(c).to_numpy() for c in ("ox", "oy", "z"))
+        zw, w, hit = np.zeros(len(left)), np.zeros(len(left)), np.full(len(left), -1)
+        step = max(1, HELD // max(1, len(own)))
+        for i in range(0, len(left), step) if len(own) else ():
+            x, y = (left.column(c).to_numpy()[i : i + step, None] for c in ("px", "py"))
+            d2 = (x - ox) ** 2 + (y - oy) ** 2
+            same = d2 == 0
+            hit[i : i + step] = np.where(same.any(axis=1), same.argmax(axis=1), -1)
+            inverse = 1 / np.where(same, np.inf, d2)
+            zw[i : i + step], w[i : i + step] = inverse @ z, inverse.sum(axis=1)
+        at = pa.array(hit, mask=hit < 0)
+        return pa.table({"pid": left.column("pid"), "zw": zw, "w": w, "oid": own.column("oid").take(at), "z": own.column("z").take(at)})
+
+    got = p.groupBy("_g", "_b").cogroup(o.groupBy("_g", "_b")).applyInArrow(sums, schema)
+    out = got.groupBy("pid").agg(F.sum("zw").alias("zw"), F.sum("w").alias("w"), F.min(F.when(F.col("oid").isNotNull(), F.struct("oid", "z"))).alias("hit"))
+    return out.select("pid", F.coalesce("hit.z", F.try_divide("zw", "w")).alias("value"))
 
 
 def knn_mean(pred: DataFrame, obs: DataFrame, k: int = 3) -> DataFrame:
-    return nearest(pred, obs, k).groupBy("pid").agg(F.avg("z").alias("value"))
+    return _values(pred, obs, k, lambda dx, dy, z, d2: z.mean(axis=1))
 
 
 def bounding_idw(pred: DataFrame, obs: DataFrame, k: int = 4) -> DataFrame:
@@ -118,9 +309,17 @@ class PointInterpolator:
     def bounding_idw(self, n_neighbours: int = 4) -> DataFrame:
         return bounding_idw(self.pred, self.obs, n_neighbours)
 
-    def map_chunks(self, func: Callable, schema: str) -> DataFrame:
-        """``func`` maps Arrow batches of the prediction points."""
-        return self.pred.mapInArrow(func, schema)
+    def linear(self, fill: float | None = None) -> DataFrame:
+        return linear(self.pred, self.obs, fill)
+
+    def chunks(self, size: int = 500) -> DataFrame:
+        """The prediction points with the number of their ``chunk``: about ``size`` points, near each other in no particular way."""
+        n = max(1, math.ceil(self.pred.count() / size))
+        return self.pred.withColumn("chunk", F.pmod(F.xxhash64("pid", "px", "py"), F.lit(n)))
+
+    def map_chunks(self, func: Callable, schema: str, size: int = 500) -> DataFrame:
+        """``func`` maps Arrow tables of about ``size`` prediction points."""
+        return self.chunks(size).groupBy("chunk").applyInArrow(lambda t: func(t.drop_columns(["chunk"])), schema)
 
 
 def interpolate_into_region(source: DataFrame, region: DataFrame, csx: float, csy: float, radius: float = 200.0) -> DataFrame:
@@ -134,22 +333,42 @@ def interpolate_into_region(source: DataFrame, region: DataFrame, csx: float, cs
     return known.unionByName(idw(pred, obs, k).select("pid.row", "pid.col", "value"))
 
 
-def fill_nodata(cells: DataFrame, method: str = "rst", csx: float = 1.0, csy: float = 1.0) -> DataFrame:
-    """Fill holes from the valid cells around them (IDW of 12, 4 or 16 neighbours for rst, bilinear, bicubic)."""
-    counts = {"rst": 12, "bilinear": 4, "bicubic": 16}
-    if method not in counts:
-        raise ValueError(f"unknown method {method!r}")
-    from talweg.operators.focal import NINE, gather
+def rim_of_holes(cells: DataFrame) -> DataFrame:
+    """(row, col, value): valid cells beside an invalid or absent one."""
+    from talweg.operators.focal import erosion_edges
 
-    near = gather(cells, NINE, [F.count("v").alias("n")]).where("centre is not null and n < 9").select("row", "col", F.col("centre").alias("value"))
-    mean = ((csx + csy) / 2) * counts[method]
-    holes = cells.where("value is null").select("row", "col", F.lit(1).alias("value"))
-    filled = interpolate_into_region(near, holes, csx, csy, mean)
-    return cells.where("value is not null").select("row", "col", F.col("value").cast("double").alias("value")).unionByName(filled)
+    rim = erosion_edges(cells.select("row", "col", "value")).where("edge").select("row", "col")
+    return cells.join(rim, ["row", "col"], "left_semi").select("row", "col", F.col("value").cast("double").alias("value"))
 
 
-def fit_morphology(points: DataFrame, observed: str, start: tuple[float, float, float] = (0.04, 0.5, 0.7), rounds: int = 400, tolerance: float = 1e-6) -> tuple[float, float, float]:
-    """Nelder-Mead fit of c * ca**a * (precip / 10)**p to ``observed``: each round sums the squared errors of all points and candidates in one job."""
+def fill_nodata(cells: DataFrame, method: str = "rst", csx: float = 1.0, csy: float = 1.0) -> DataFrame:
+    """Fill holes from the valid cells around them; known cells keep their values.
+
+    ``rst``: local thin-plate splines; ``bilinear`` and ``bicubic``: the spline
+    surfaces of :func:`spline_surface` over the holes' rims.
+    """
+    if method not in ("rst", "bilinear", "bicubic"):
+        raise ValueError(f"unknown method {method!r}")
+    known = cells.where("value is not null").select("row", "col", F.col("value").cast("double").alias("value"))
+    holes = cells.where("value is null").select("row", "col")
+    if holes.isEmpty() or known.isEmpty():
+        return cells.select("row", "col", F.col("value").cast("double").alias("value"))
+    rim = cut(rim_of_holes(cells))
+    if method == "rst":
+        obs = rim.select((F.col("row").cast("long") * (1 << 31) + F.col("col")).alias("oid"), (F.col("col") * csx).alias("ox"), (F.col("row") * csy).alias("oy"), F.col("value").alias("z"))
+        pred = holes.select(F.struct("row", "col").alias("pid"), (F.col("col") * csx).alias("px"), (F.col("row") * csy).alias("py"))
+        return known.unionByName(thin_plate(pred, obs).select("pid.row", "pid.col", "value"))
+    points = rim.select(F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), F.col("value").alias("z"))
+    return known.unionByName(spline_surface(points, holes, method))
+
+
+def fit_morphology(points: DataFrame, observed: str, include: str | None = None, start: tuple[float, float, float] = (0.04, 0.5, 0.7), rounds: int = 400, tolerance: float = 1e-6) -> tuple[float, float, float]:
+    """Nelder-Mead fit of c * ca**a * (precip / 10)**p to ``observed``: each round sums the squared errors of all points and candidates in one job.
+
+    With ``include`` only the points count that have 1 in that column.  Without
+    convergence after ``rounds``: RuntimeError.
+    """
+    points = points if include is None else points.where(F.col(include) == 1)
     data = cut(points.select(F.col("ca").cast("double").alias("ca"), (F.col("precip") / 10).cast("double").alias("pr"), F.col(observed).cast("double").alias("o")))
 
     def sse(candidates: list[np.ndarray]) -> list[float]:
@@ -180,10 +399,65 @@ def fit_morphology(points: DataFrame, observed: str, start: tuple[float, float,
     raise RuntimeError("the fit did not converge")
 
 
-def spline_surface(points: DataFrame, target: DataFrame, degree: str = "bicubic") -> DataFrame:
-    """(row, col, value) from scattered points (x, y, z in cell units): IDW of 4 (bilinear) or 16 (bicubic) neighbours."""
+def model_metrics(points: DataFrame, observed: str, model: tuple[float, float, float], include: str | None = None) -> DataFrame:
+    """(sse, mae, r2) of a fitted model on its points."""
+    from talweg.functions.algebra import bankfull_width, fit_metrics
+
+    points = points if include is None else points.where(F.col(include) == 1)
+    return fit_metrics(points, F.col(observed), bankfull_width(F.col("ca").cast("double"), F.col("precip").cast("double"), *model))
+
+
+def _basis(t: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
+    """First knot and weights of the B-splines of a degree (1 or 3) at positions in knots."""
+    i = np.floor(t)
+    u = t - i
+    if degree == 1:
+        return i.astype(int), np.stack([1 - u, u], axis=-1)
+    w = np.stack([(1 - u) ** 3, 3 * u**3 - 6 * u**2 + 4, -3 * u**3 + 3 * u**2 + 3 * u + 1, u**3], axis=-1) / 6
+    return i.astype(int) - 1, w
+
+
+def spline_surface(points: DataFrame, target: DataFrame, degree: str = "bicubic", step: float = 4.0, smooth: float = 1e-4, tile: int = 64, reach: int = 32) -> DataFrame:
+    """(row, col, value): least-squares B-spline surface of scattered points (x, y, z in cell units) at the target cells.
+
+    Knots are ``step`` cells apart; ``smooth`` weighs the squared second
+    differences of the coefficients, which also carries the surface over gaps.
+    Each tile is fitted with the points up to ``reach`` cells around it, one
+    small system a tile; a tile without points in reach gets NULL.
+    """
     if degree not in ("bilinear", "bicubic"):
         raise ValueError(f"unknown degree {degree!r}")
-    obs = points.select(F.monotonically_increasing_id().alias("oid"), F.col("x").alias("ox"), F.col("y").alias("oy"), "z")
-    pred = target.select(F.struct("row", "col").alias("pid"), F.col("col").cast("double").alias("px"), F.col("row").cast("double").alias("py"))
-    return idw(pred, cut(obs), 4 if degree == "bilinear" else 16).select("pid.row", "pid.col", "value")
+    d = 1 if degree == "bilinear" else 3
+    span = lambda v: F.explode(F.sequence(F.floor((F.col(v) - reach) / tile), F.floor((F.col(v) + reach) / tile)))
+    near = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("z").cast("double").alias("z")).where("z is not null").withColumn("tr", span("y")).withColumn("tc", span("x"))
+    want = target.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).withColumn("tr", F.floor(F.col("row") / tile)).withColumn("tc", F.floor(F.col("col") / tile))
+
+    def fit(left: pa.Table, right: pa.Table) -> pa.Table:
+        value = np.full(len(left), np.nan)
+        if len(left) and len(right):
+            r0, c0 = left.column("tr")[0].as_py() * tile - reach, left.column("tc")[0].as_py() * tile - reach
+            m = int(math.ceil((tile + 2 * reach) / step)) + 4
+
+            def rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                (i, wy), (j, wx) = _basis((y - r0) / step + 1, d), _basis((x - c0) / step + 1, d)
+                out = np.zeros((len(x), m * m))
+                for a in range(d + 1):
+                    for b in range(d + 1):
+                        out[np.arange(len(x)), np.clip(i + a, 0, m - 1) * m + np.clip(j + b, 0, m - 1)] += wy[:, a] * wx[:, b]
+                return out
+
+            x, y, z = (right.column(c).to_numpy() for c in ("x", "y", "z"))
+            normal, side = np.zeros((m * m, m * m)), np.zeros(m * m)
+            middle = z.mean()
+            for s in range(0, len(z), 4096):
+                a = rows(x[s : s + 4096], y[s : s + 4096])
+                normal += a.T @ a
+                side += a.T @ (z[s : s + 4096] - middle)
+            second = np.diff(np.eye(m), 2, axis=0)
+            bend = second.T @ second
+            normal += smooth * (np.kron(bend, np.eye(m)) + np.kron(np.eye(m), bend)) + 1e-9 * np.eye(m * m)
+            own = np.linalg.solve(normal, side)
+            value = rows(left.column("col").to_numpy().astype(float), left.column("row").to_numpy().astype(float)) @ own + middle
+        return pa.table({"row": left.column("row"), "col": left.column("col"), "value": pa.array(value, mask=np.isnan(value))})
+
+    return want.groupBy("tr", "tc").cogroup(near.groupBy("tr", "tc")).applyInArrow(fit, "row int, col int, value double")

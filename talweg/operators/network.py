@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talweg.operators.hydro import _cells, _id, edges
-from talweg.plans.graph import component_labels, cut
+from talweg.plans.graph import component_labels, cut, numbered, pointer_doubling
 from talweg.plans.grid import GridSpec
 
 REDUCERS = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "median": F.median, "std": F.stddev_pop, "var": F.var_pop}
@@ -18,7 +18,7 @@ def flow_labels(classes: DataFrame, direction: DataFrame) -> DataFrame:
     e = edges(direction).where("next is not null")
     pairs = e.join(nodes, "id").join(nodes.select(F.col("id").alias("next"), F.col("class").alias("other")), "next").where("class = other")
     labels = component_labels(nodes.select("id"), pairs.select(F.col("id").alias("a"), F.col("next").alias("b")))
-    number = labels.select("label").distinct().withColumn("value", F.dense_rank().over(Window.orderBy("label")))
+    number = numbered(labels.select("label").distinct(), "label")
     return _cells(labels.join(number, "label")).select("row", "col", "value")
 
 
@@ -40,12 +40,9 @@ def reach_vertices(reaches: DataFrame, direction: DataFrame, spec: GridSpec) ->
 
 
 def _heights(tree: DataFrame) -> DataFrame:
-    """(id, height): steps down to the root, by doubling."""
-    state = cut(tree.select("id", "next", F.when(F.col("next").isNotNull(), 1).otherwise(0).alias("height")))
-    while not state.where("next is not null").isEmpty():
-        far = state.select(F.col("id").alias("_at"), F.col("next").alias("_next"), F.col("height").alias("_h"))
-        state = cut(state.join(far, F.col("next") == F.col("_at"), "left").select("id", F.col("_next").alias("next"), (F.col("height") + F.coalesce("_h", F.lit(0))).alias("height")))
-    return state.select("id", "height")
+    """(id, height): steps down to the root, by doubling; a circle raises RuntimeError."""
+    steps = F.when(F.col("next").isNotNull(), 1).otherwise(0).alias("height")
+    return pointer_doubling(tree.select("id", "next", steps), {}, ("height",)).select("id", "height")
 
 
 def segment_edges(direction: DataFrame, segments: DataFrame) -> DataFrame:
@@ -98,15 +95,27 @@ def reach_geometry(vertices: DataFrame) -> DataFrame:
     return got.select("rid", "length", straight.alias("straight"), F.try_divide("length", straight).alias("sinuosity"), "n")
 
 
+def horton(order: DataFrame, water: DataFrame) -> DataFrame:
+    """(rid, next_rid, strahler): Strahler's orders (rid, next_rid, strahler) made Horton's.
+
+    Of the reaches that meet, the one with most ``water`` (rid, water; ties to
+    the smaller rid) is the main stem and takes the order of the reach below;
+    the others keep their own to their main stem's end.
+    """
+    best = Window.partitionBy("next_rid").orderBy(F.col("water").desc(), "rid")
+    ranked = order.join(water, "rid", "left").withColumn("k", F.row_number().over(best))
+    stem = ranked.select(F.col("rid").alias("id"), F.when((F.col("next_rid") != -1) & (F.col("k") == 1), F.col("next_rid")).alias("next"))
+    root = pointer_doubling(stem, {}).select(F.col("id").alias("rid"), "root")
+    top = order.select(F.col("rid").alias("root"), F.col("strahler").alias("top"))
+    return order.join(root, "rid").join(top, "root").select("rid", "next_rid", F.col("top").alias("strahler"))
+
+
 def net_and_distance(links: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(rid, netID, upDist): outlets numbered by rid; own length plus all lengths down to the outlet."""
-    base = links.join(lengths.select("rid", "length"), "rid").select("rid", F.when(F.col("next_rid") != -1, F.col("next_rid")).alias("next"), F.col("length").alias("d"), F.col("rid").alias("root"))
-    state = cut(base)
-    while not state.where("next is not null").isEmpty():
-        far = state.select(F.col("rid").alias("_at"), F.col("next").alias("_next"), F.col("d").alias("_d"), F.col("root").alias("_root"))
-        state = cut(state.join(far, F.col("next") == F.col("_at"), "left").select("rid", F.col("_next").alias("next"), (F.col("d") + F.coalesce("_d", F.lit(0.0))).alias("d"), F.coalesce("_root", "root").alias("root")))
-    nets = state.select("root").distinct().withColumn("netID", F.dense_rank().over(Window.orderBy("root")))
-    return state.join(nets, "root").select("rid", "netID", F.col("d").alias("upDist"))
+    """(rid, netID, upDist): outlets numbered by rid; own length plus all lengths down to the outlet.  A circle raises RuntimeError."""
+    base = links.join(lengths.select("rid", "length"), "rid").select(F.col("rid").alias("id"), F.when(F.col("next_rid") != -1, F.col("next_rid")).alias("next"), F.col("length").alias("d"))
+    got = cut(pointer_doubling(base, {}, ("d",)))
+    nets = numbered(got.select("root").distinct(), "root", "netID")
+    return got.join(nets, "root").select(F.col("id").alias("rid"), "netID", F.col("d").alias("upDist"))
 
 
 def stream_topology(reaches: DataFrame, direction: DataFrame, spec: GridSpec) -> tuple[DataFrame, DataFrame]:
@@ -153,6 +162,11 @@ def sinuosity(lines: DataFrame, sampling: float = 100.0) -> DataFrame:
     on = legs.join(places, "fid").where((F.col("station") >= F.col("from")) & (F.col("station") <= F.col("from") + F.col("len")))
     share = (F.col("station") - F.col("from")) / F.col("len")
     points = on.groupBy("fid", "station").agg(F.min_by(F.struct((F.col("x") + (F.col("x2") - F.col("x")) * share).alias("px"), (F.col("y") + (F.col("y2") - F.col("y")) * share).alias("py")), "seq").alias("p")).select("fid", "station", "p.px", "p.py")
+    # A leg meets the stations of the buckets (as wide as the sampling) that its box, widened by the radius, covers.
+    half, bucket = sampling / 2, lambda v: F.floor(v / sampling)
+    points = cut(points.withColumn("bx", bucket(F.col("px"))).withColumn("by", bucket(F.col("py"))))
+    near = lambda a, b: F.explode(F.sequence(bucket(F.least(a, b) - half), bucket(F.greatest(a, b) + half)))
+    close = legs.select("fid", "x", "y", "x2", "y2", "len", near("x", "x2").alias("bx")).select("*", near("y", "y2").alias("by"))
     # A leg inside the circle: roots of |a + t (b - a) - p|2 = r2, cut to 0..1.
     r2 = (sampling / 2) ** 2
     ux, uy, vx, vy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y"), F.col("x") - F.col("px"), F.col("y") - F.col("py")
@@ -161,6 +175,6 @@ def sinuosity(lines: DataFrame, sampling: float = 100.0) -> DataFrame:
     root = F.sqrt(F.greatest(disc, F.lit(0.0)))
     lo, hi = F.greatest((-b - root) / a, F.lit(0.0)), F.least((-b + root) / a, F.lit(1.0))
     inside = F.when((disc > 0) & (hi > lo), (hi - lo) * F.col("len")).otherwise(F.lit(0.0))
-    return legs.join(points, "fid").groupBy("fid", "station").agg(F.first("px").alias("x"), F.first("py").alias("y"), (F.sum(inside) / sampling).alias("value"))
+    return close.join(points, ["fid", "bx", "by"]).groupBy("fid", "station").agg(F.first("px").alias("x"), F.first("py").alias("y"), (F.sum(inside) / sampling).alias("value"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talweg.operators.focal import NINE
-from talweg.plans.graph import component_labels, cut
+from talweg.plans.graph import component_labels, cut, numbered
 from talweg.plans.grid import GridSpec, transform_points
 
 
@@ -97,7 +97,8 @@ def equal_value_regions(cells: DataFrame, width: int = 1 << 31) -> DataFrame:
     near = near.select(F.col("id").alias("a"), "value", ((F.col("row") + F.col("o.r")).cast("long") * width + F.col("col") + F.col("o.c")).alias("b"))
     pairs = near.join(own.select(F.col("id").alias("b"), F.col("value").alias("v2")), "b").where("value = v2").select("a", "b")
     labels = component_labels(own.select("id"), pairs)
-    return own.join(labels, "id").select("row", "col", "value", F.dense_rank().over(Window.orderBy("label")).alias("region"))
+    number = numbered(labels.select("label").distinct(), "label", "region")
+    return own.join(labels, "id").join(number, "label").select("row", "col", "value", "region")
 
 
 def region_outlines(regions: DataFrame, spec: GridSpec) -> DataFrame:
@@ -216,12 +217,14 @@ def z_align(source: DataFrame, addition: DataFrame, n_neighbours: int = 1000) ->
 
 def las_to_dtm(points: DataFrame, spec: GridSpec, max_slope: float = 1.0) -> DataFrame:
     """Ground surface of points (x, y, z): lowest point of each cell, off-ground cells by slope, holes by IDW."""
-    from talweg.operators.focal import gather
+    from talweg.operators.focal import raster_filter
     from talweg.operators.interp import fill_nodata
 
     low = points.select(spec.row("y").alias("row"), spec.col("x").alias("col"), "z").where(F.col("row").between(0, spec.n_rows - 1) & F.col("col").between(0, spec.n_cols - 1)).groupBy("row", "col").agg(F.min("z").alias("value"))
-    near = gather(low, [o for o in NINE if o != (0, 0)], [F.percentile("v", F.lit(0.5)).alias("mid")])
-    ground = near.select("row", "col", F.when(F.col("mid").isNull() | (F.col("centre") - F.col("mid") <= max_slope * spec.avg_cs), F.col("centre")).alias("value"))
+    low = cut(low)
+    around = [[(r, c) != (1, 1) for c in range(3)] for r in range(3)]
+    mid = raster_filter(low, around, "median").withColumnRenamed("value", "mid")
+    ground = low.join(mid, ["row", "col"]).select("row", "col", F.when(F.col("mid").isNull() | (F.col("value") - F.col("mid") <= max_slope * spec.avg_cs), F.col("value")).alias("value"))
     grid = spec.cells(points.sparkSession).where("band = 1").select("row", "col").join(ground, ["row", "col"], "left")
     return fill_nodata(cut(grid), "rst", spec.csx, spec.csy)
 

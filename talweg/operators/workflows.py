@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from talweg.functions import algebra as A
 from talweg.operators.cost import topographic_wetness, valley_width
 from talweg.operators.focal import raster_filter
-from talweg.operators.hydro import FlowAccumulation, extract_streams, flow_direction_accumulation
+from talweg.operators.hydro import FlowAccumulation, extract_streams, fill_depressions, flow_direction_accumulation, multiple_flow
 from talweg.operators.interp import interpolate_into_region
 from talweg.operators.network import flow_labels, reach_attributes, stream_topology
-from talweg.operators.terrain import mean_of_days, ruggedness, slope, solar_radiation, stream_slope
+from talweg.operators.terrain import mean_radiation, ruggedness, slope, stream_slope
 from talweg.plans.graph import cut
+from talweg.plans.graph import percentiles as exact_percentiles
 from talweg.plans.grid import GridSpec, disk_kernel
 
 LAYERS = ("twi", "bankfull_width", "stream_slope", "stream_density")
@@ -50,14 +51,17 @@ def connectivity(layers: list[DataFrame], percentiles: tuple[float, ...] | None
     if percentiles is None:
         return total
     total = cut(total)
-    cuts = total.agg(F.percentile("value", F.array(*[F.lit(p / 100) for p in percentiles])).alias("_cuts"))
-    value = F.when(F.col("value").isNotNull(), F.size(F.filter("_cuts", lambda c: c <= F.col("value"))))
-    return total.crossJoin(F.broadcast(cuts)).select("row", "col", value.alias("value"))
+    cuts = [c for c in exact_percentiles(total, "value", [p / 100 for p in percentiles]) if c is not None]
+    value = F.when(F.col("value").isNotNull(), F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c <= F.col("value"))))
+    return total.select("row", "col", value.alias("value"))
 
 
 @dataclass
 class RiparianConnectivity:
-    """Builds its layers one after the other; a layer that is missing raises AttributeError."""
+    """Builds its layers one after the other; a layer that is missing raises AttributeError.
+
+    Layers from outside come with their spec, which must match the DEM's.
+    """
 
     dem: DataFrame
     spec: GridSpec
@@ -68,18 +72,26 @@ class RiparianConnectivity:
             raise AttributeError(f"{name} has not been made")
         return self.made[name]
 
-    def put(self, name: str, layer: DataFrame) -> RiparianConnectivity:
+    def verify_source(self, spec: GridSpec) -> None:
+        """ValueError if a layer's grid is not the DEM's."""
+        self.spec.require(spec)
+
+    def put(self, name: str, layer: DataFrame, spec: GridSpec | None = None) -> RiparianConnectivity:
+        if spec is not None:
+            self.verify_source(spec)
         self.made[name] = layer
         return self
 
     def extract_streams(self, min_ws_area: float = 1e6, min_stream_length: float = 0.0) -> RiparianConnectivity:
-        _, accumulation = flow_direction_accumulation(self.dem, self.spec.csx, self.spec.csy, single=False)
-        streams, direction = extract_streams(self.dem, self.spec.csx, self.spec.csy, min_ws_area, min_stream_length, accumulation)
-        self.put("slope", cut(slope(self.dem, self.spec.csx, self.spec.csy)))
+        filled = cut(fill_depressions(self.dem))
+        accumulation = cut(multiple_flow(filled))
+        streams, direction = extract_streams(filled, self.spec.csx, self.spec.csy, min_ws_area, min_stream_length, accumulation)
+        if "slope" not in self.made:
+            self.put("slope", cut(slope(self.dem, self.spec.csx, self.spec.csy)))
         return self.put("streams", cut(streams)).put("flow_direction", direction)
 
-    def calc_twi(self) -> RiparianConnectivity:
-        return self.put("twi", cut(topographic_wetness(self.layer("streams"), self.layer("slope"), self.spec)))
+    def calc_twi(self, max_cost: float = 750.0) -> RiparianConnectivity:
+        return self.put("twi", cut(topographic_wetness(self.layer("streams"), self.layer("slope"), self.spec, max_cost)))
 
     def define_region(self, twi_cutoff: float = 745.0) -> RiparianConnectivity:
         return self.put("region", cut(region_above(self.layer("twi"), twi_cutoff)))
@@ -87,9 +99,12 @@ class RiparianConnectivity:
     def _spread(self, source: DataFrame) -> DataFrame:
         return cut(interpolate_into_region(source, self.layer("region"), self.spec.csx, self.spec.csy))
 
-    def calc_bankfull_width(self, precipitation: DataFrame, cutoff: float = 10.0) -> RiparianConnectivity:
+    def calc_bankfull_width(self, precipitation: DataFrame, cutoff: float = 10.0, spec: GridSpec | None = None) -> RiparianConnectivity:
+        if spec is not None:
+            self.verify_source(spec)
         flow = FlowAccumulation(self.layer("flow_direction"))
-        joined = flow.contributing_area(self.spec.csx, self.spec.csy).withColumnRenamed("value", "a").join(flow.calculate(precipitation, "mean").withColumnRenamed("value", "p"), ["row", "col"])
+        area = flow.contributing_area(self.spec.csx, self.spec.csy).withColumnRenamed("value", "a")
+        joined = area.join(flow.calculate(precipitation, "mean").withColumnRenamed("value", "p"), ["row", "col"])
         width = joined.join(self.layer("streams").select("row", "col"), ["row", "col"], "left_semi").select("row", "col", A.bankfull_width(F.col("a"), F.col("p")).alias("value"))
         return self.put("bankfull_width", self._spread(A.normalize(cut(width), (0, cutoff))))
 
@@ -116,50 +131,53 @@ class RiparianConnectivity:
         return vectorize(out, self.spec)
 
 
-def stream_analysis(dem: DataFrame, precipitation: DataFrame, spec: GridSpec, lakes: DataFrame | None = None, min_area: float = 1e6, min_length: float = 25.0, climate: dict[str, DataFrame] | None = None, landcover: DataFrame | None = None, landcover_mapping: dict[int, str] | None = None, gradient_focal_mean_dist: float = 25.0) -> DataFrame:
+def stream_analysis(
+    dem: DataFrame, precipitation: DataFrame, spec: GridSpec, lakes: DataFrame | None = None, min_area: float = 1e6, min_length: float = 25.0,
+    climate: dict[str, DataFrame] | None = None, landcover: DataFrame | None = None, landcover_mapping: dict[int, str] | None = None,
+    gradient_focal_mean_dist: float = 25.0, latitude: float | None = None, valley_max_cost: float = 1.0,
+) -> DataFrame:
     """One row per reach with topology and attributes; all rasters lie on the DEM's grid.
 
     ``lakes`` are cells; ``climate`` maps attribute names to rasters that get
-    their upstream mean.
+    their upstream mean; ``landcover_mapping`` names the classes whose upstream
+    area (square map units) becomes an attribute.  All upstream aggregates come
+    from one pass over the flow, and all attributes from one join and grouping.
     """
     if landcover is not None and not landcover_mapping:
         raise ValueError("landcover needs landcover_mapping")
     on = ["row", "col"]
     named = lambda d, n: d.select("row", "col", F.col("value").alias(n))
-    _, accumulation = flow_direction_accumulation(dem, spec.csx, spec.csy)
+    direction, accumulation = flow_direction_accumulation(dem, spec.csx, spec.csy)
     lake = lakes if lakes is not None else dem.select("row", "col", F.lit(None).cast("double").alias("value"))
     weighted = named(accumulation, "a").join(named(precipitation, "p"), on).join(named(lake, "k"), on, "left")
     weighted = weighted.select("row", "col", F.when(F.col("k").isNotNull(), 0.0).otherwise(A.precipitation_weight(F.col("a"), F.col("p"))).alias("value"))
-    streams, direction = extract_streams(dem, spec.csx, spec.csy, min_area, min_length, cut(weighted))
+    streams, direction = extract_streams(dem, spec.csx, spec.csy, min_area, min_length, cut(weighted), direction=direction)
     streams = cut(streams)
-    flow = FlowAccumulation(direction)
     steep = cut(slope(dem, spec.csx, spec.csy))
     gradient = cut(stream_slope(dem, streams, spec, "percent", focal_mean_dist=gradient_focal_mean_dist))
-    precip = flow.calculate(precipitation, "mean")
-    area = flow.contributing_area(spec.csx, spec.csy)
-    width = cut(named(area, "a").join(named(precip, "p"), on).join(streams.select(*on), on, "left_semi").select("row", "col", A.bankfull_width(F.col("a"), F.col("p"), 0.196, 0.280, 0.355).alias("value")))
-    valley = cut(valley_width(streams, steep, spec))
-    classes = named(streams, "s").join(named(gradient, "g"), on, "left").join(named(width, "w"), on, "left").join(named(lake, "k"), on, "left")
-    classes = cut(classes.select("row", "col", A.reach_class(F.col("g"), F.col("w"), F.col("k").isNotNull(), F.lit(1)).alias("value")))
+    # Everything upstream, at stream cells.
+    wide = named(dem, "elev").join(named(mean_radiation(dem, spec=spec, latitude=latitude), "solrad"), on, "left").join(named(ruggedness(dem), "tri"), on, "left")
+    wide = wide.join(named(steep, "slope"), on, "left").join(named(precipitation, "precip"), on, "left")
+    wanted = {"ws_mean_elev": ("elev", "mean"), "ws_mean_solrad": ("solrad", "mean"), "ws_sum_solrad": ("solrad", "sum"), "ws_mean_tri": ("tri", "mean"), "ws_mean_slope": ("slope", "mean"), "ws_mean_precip_mm": ("precip", "mean"), "_cells": ("_one", "sum")}
+    for name, layer in (climate or {}).items():
+        wide = wide.join(named(layer, f"_{name}"), on, "left")
+        wanted[f"ws_mean_{name}"] = (f"_{name}", "mean")
+    if landcover is not None:
+        wide = wide.join(named(landcover, "_class"), on, "left")
+        for key, name in landcover_mapping.items():
+            wide = wide.withColumn(f"_area_{key}", A.class_area(F.col("_class"), key, spec.csx, spec.csy))
+            wanted[name] = (f"_area_{key}", "sum")
+    up = FlowAccumulation(direction).calculate_all(cut(wide.withColumn("_one", F.lit(1.0))), **wanted)
+    up = cut(up.join(streams.select(*on), on, "left_semi").withColumn("area_km2", A.contributing_area(F.col("_cells"), spec.csx, spec.csy)).drop("_cells"))
+    width = up.select("row", "col", A.bankfull_width(F.col("area_km2"), F.col("ws_mean_precip_mm"), 0.196, 0.280, 0.355).alias("bankfull_width"))
+    valley = valley_width(streams, steep, spec, valley_max_cost)
+    cells = named(streams, "_s").join(named(gradient, "gradient"), on, "left").join(width, on, "left").join(named(valley, "valley_width"), on, "left")
+    cells = cells.join(named(lake, "_lake"), on, "left").join(named(dem, "elev"), on, "left").join(up, on, "left")
+    cells = cut(cells.withColumn("water", F.when(F.col("_lake").isNotNull(), 1).otherwise(0)).withColumn("confinement", A.valley_confinement(F.col("bankfull_width"), F.col("valley_width"))))
+    classes = cut(cells.select("row", "col", A.reach_class(F.col("gradient"), F.col("bankfull_width"), F.col("water") == 1, F.lit(1)).alias("value")))
     reaches = cut(flow_labels(classes, direction))
     features, vertices = stream_topology(reaches, direction, spec)
-    solar = None
-    for day in range(15, 365, 30):
-        one = solar_radiation(dem, day).withColumn("day", F.lit(day))
-        solar = one if solar is None else solar.unionByName(one)
-    solar = cut(mean_of_days(solar))
-    layers = {
-        "area_km2": area, "elev": dem, "gradient": gradient, "bankfull_width": width, "valley_width": valley,
-        "ws_mean_elev": flow.calculate(dem, "mean"), "ws_mean_solrad": flow.calculate(solar, "mean"), "ws_sum_solrad": flow.calculate(solar, "sum"),
-        "ws_mean_tri": flow.calculate(cut(ruggedness(dem)), "mean"), "ws_mean_slope": flow.calculate(steep, "mean"), "ws_mean_precip_mm": precip,
-    } | {f"ws_mean_{n}": flow.calculate(d, "mean") for n, d in (climate or {}).items()}
-    for key, name in (landcover_mapping or {}).items() if landcover is not None else ():
-        layers[name] = flow.calculate(landcover.select("row", "col", A.class_area(F.col("value"), key, spec.csx, spec.csy).alias("value")), "sum")
-    wide = named(streams, "_s").join(named(lake, "_lake"), on, "left")
-    for name, layer in layers.items():
-        wide = wide.join(named(layer.join(streams.select(*on), on, "left_semi"), name), on, "left")
-    wide = cut(wide.withColumn("water", F.when(F.col("_lake").isNotNull(), 1).otherwise(0)).withColumn("confinement", A.valley_confinement(F.col("bankfull_width"), F.col("valley_width"))))
     stats = {"in_area_km2": ("area_km2", "min"), "out_area_km2": ("area_km2", "max"), "elev_min": ("elev", "min"), "elev_max": ("elev", "max"), "elev_mean": ("elev", "mean"), "water": ("water", "max"), "confinement": ("confinement", "mean")}
-    stats |= {n: (n, "mean") for n in layers if n not in ("area_km2", "elev")}
-    attributes = reach_attributes(vertices, wide, **stats).withColumn("waterbody", F.col("water") == 1).drop("water")
+    stats |= {n: (n, "mean") for n in ("gradient", "bankfull_width", "valley_width", *(w for w in wanted if w != "_cells"))}
+    attributes = reach_attributes(vertices, cells, **stats).withColumn("waterbody", F.col("water") == 1).drop("water")
     return features.join(attributes, "rid", "left")

@@ -91,16 +91,45 @@ def _folder(s: SparkSession) -> str:
     """A new folder in the shared checkpoint folder."""
     import uuid
 
-    from talweg.plans.graph import cut
+    from talweg.plans.graph import shared_folder
+
+    return f"{shared_folder(s)}/talweg-{uuid.uuid4().hex}"
+
+
+def _stored(s, d, name: str, tile: int = 16) -> rasters.Raster:
+    path = f"{_folder(s)}/{name}"
+    cells = dem48(s, d).select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("value").cast("double").alias("value"))
+    rasters.to_raster(cells, SPEC, path, tile)
+    return rasters.Raster(s, path)
+
 
-    if not s.sparkContext.getCheckpointDir():
-        cut(s.range(1))
-    return f"{s.sparkContext.getCheckpointDir()}/talweg-{uuid.uuid4().hex}"
+@query("S03_specs_and_stats", f"with {_DEM} select cast(48 as bigint) as n_rows, cast(48 as bigint) as n_cols, cast(500000 as double) as left_x, cast(4000000 as double) as top_y, cast(10 as double) as csx, cast(min(z) as double) as lo, cast(max(z) as double) as hi, round(avg(z), 6) as mean, round(stddev_pop(z), 6) as std from dem")
+def _s03(s, d):
+    r = _stored(s, d, "specs")
+    row = (r.spec.n_rows, r.spec.n_cols, r.spec.left, r.spec.top, r.spec.csx, r.stats["min"], r.stats["max"], round(r.stats["mean"], 6), round(r.stats["std"], 6))
+    return s.createDataFrame([row], "n_rows long, n_cols long, left_x double, top_y double, csx double, lo double, hi double, mean double, std double")
+
+
+@query("S05_empty_like", "select a.x as r, b.x as c, cast(null as double) as value from generate_series(0, 23) a(x), generate_series(0, 47) b(x)")
+def _s05(s, d):
+    path = f"{_folder(s)}/like"
+    rasters.empty_like(s, SPEC, path, n_rows=24)
+    return out(rasters.Raster(s, path).cells())
+
+
+@query("S07_window_write", f"with {_DEM} select r, c, cast(case when r between 5 and 20 and c between 30 and 40 then -1 else z end as double) as value from dem")
+def _s07(s, d):
+    r = _stored(s, d, "write")
+    part = SPEC.cells(s).where("row between 5 and 20 and col between 30 and 40").withColumn("value", F.lit(-1.0))
+    r.write_window(part)
+    return out(r.cells())
 
 
 @query("S04_empty_grid", "select a.x as r, b.x as c, cast(null as double) as value from generate_series(0, 47) a(x), generate_series(0, 47) b(x)")
 def _s04(s, d):
-    return out(SPEC.cells(s))
+    path = f"{_folder(s)}/empty"
+    rasters.empty(s, SPEC, path)
+    return out(rasters.Raster(s, path).cells())
 
 
 @query("S06_window_read", f"with {_DEM} select r, c, cast(z as double) as value from dem where r between 10 and 19 and c between 5 and 14")
@@ -175,6 +204,78 @@ def _g10(s, d):
     return s.createDataFrame(kernel_offsets(disk_kernel(30.0, 10.0, 10.0)), "dr long, dc long")
 
 
+@query("S09_csv_sink", f"with {_HOLES} select cast(500000 + (c + 0.5) * 10 as double) as x, cast(4000000 - (r + 0.5) * 10 as double) as y, cast(z as double) as value from holes where z is not null")
+def _s09b(s, d):
+    path = f"{_folder(s)}/points"
+    rasters.write_points_csv(rasters.points(holes48(s, d), SPEC), path)
+    return rasters.read_table(s, path).select(*[F.col(c).cast("double").alias(c) for c in ("x", "y", "value")])
+
+
+@query("S09_geojson_sink", f"with {_HOLES} select cast(500000 + (c + 0.5) * 10 as double) as x, cast(4000000 - (r + 0.5) * 10 as double) as y, cast(z as double) as value from holes where z is not null")
+def _s09c(s, d):
+    path = f"{_folder(s)}/features"
+    rasters.write_points_geojson(rasters.points(holes48(s, d), SPEC), path)
+    f = F.from_json("value", "type string, geometry struct<type:string,coordinates:array<double>>, properties struct<value:double>")
+    return s.read.text(path).select(f.alias("f")).select(F.col("f.geometry.coordinates")[0].alias("x"), F.col("f.geometry.coordinates")[1].alias("y"), F.col("f.properties.value").alias("value"))
+
+
+@query("S10_polygons", f"with {_DEM} select cast((r // 16) * 3 + c // 16 as double) as value, cast(500000 + min(c) * 10 as double) as x0, cast(500000 + (max(c) + 1) * 10 as double) as x1, cast(4000000 - (max(r) + 1) * 10 as double) as y0, cast(4000000 - min(r) * 10 as double) as y1, cast(1 as bigint) as rings from dem group by r // 16, c // 16")
+def _s10(s, d):
+    blocks = dem48(s, d).withColumn("value", F.floor(F.col("row") / 16) * 3 + F.floor(F.col("col") / 16))
+    got = resample.vectorize(blocks, SPEC).withColumn("p", F.flatten("rings"))
+    limit = lambda f, k: f(F.transform("p", lambda v: v[k]))
+    return got.select("value", limit(F.array_min, "x").alias("x0"), limit(F.array_max, "x").alias("x1"), limit(F.array_min, "y").alias("y0"), limit(F.array_max, "y").alias("y1"), F.size("rings").cast("long").alias("rings"))
+
+
+@query("S11_tile_keys", "select c_custkey as id, cast(floor((cast(c_custkey % 359 as double) - 179.5 + 180) / 360 * 1024) as integer) as tx, cast(floor((1 - ln(tan(radians(cast(c_custkey % 160 as double) - 80.25)) + 1 / cos(radians(cast(c_custkey % 160 as double) - 80.25))) / pi()) / 2 * 1024) as integer) as ty from customer")
+def _s11(s, d):
+    k = F.col("c_custkey")
+    pts = table(s, d, "customer").select(k.alias("id"), ((k % 359).cast("double") - 179.5).alias("x"), ((k % 160).cast("double") - 80.25).alias("y"))
+    return resample.tile_keys(pts, 10).select("id", "tx", "ty")
+
+
+@query("G01_cubic_resample", f"""with {_DEM}, t as (select a.x as r, b.x as c, (a.x + 0.5) / 2 - 0.5 as fr, (b.x + 0.5) / 2 - 0.5 as fc from generate_series(0, 95) a(x), generate_series(0, 95) b(x)),
+    k as (select t.r, t.c, cast(z as double) as z, abs(t.fr - dem.r) as dr, abs(t.fc - dem.c) as dc from t join dem on dem.r between floor(t.fr) - 1 and floor(t.fr) + 2 and dem.c between floor(t.fc) - 1 and floor(t.fc) + 2),
+    w as (select r, c, z, (case when dr <= 1 then 1.5 * dr * dr * dr - 2.5 * dr * dr + 1 else -0.5 * dr * dr * dr + 2.5 * dr * dr - 4 * dr + 2 end) * (case when dc <= 1 then 1.5 * dc * dc * dc - 2.5 * dc * dc + 1 else -0.5 * dc * dc * dc + 2.5 * dc * dc - 4 * dc + 2 end) as w from k)
+    select r, c, round(cast(sum(z * w) / sum(w) as double), 3) as value from w group by r, c""")
+def _g01c(s, d):
+    return out(resample.warp([(dem48(s, d), SPEC)], SPEC.with_(csx=5.0, csy=5.0, n_rows=96, n_cols=96)), digits=3)
+
+
+_GEO = GridSpec(left=10.0, top=50.0, csx=0.01, csy=0.01, n_rows=48, n_cols=48, crs="EPSG:4326")
+_WEB = GridSpec(left=1113200.0, top=6446000.0, csx=1000.0, csy=1000.0, n_rows=40, n_cols=50, crs="EPSG:3857")
+
+
+@query("G01_reproject_nearest", f"with {_DEM}, t as (select a.x as r, b.x as c, degrees((1113200 + (b.x + 0.5) * 1000) / 6378137) as lon, degrees(2 * atan(exp((6446000 - (a.x + 0.5) * 1000) / 6378137)) - pi() / 2) as lat from generate_series(0, 39) a(x), generate_series(0, 49) b(x)) select t.r, t.c, cast(dem.z as double) as value from t join dem on dem.r = cast(floor((50 - t.lat) / 0.01) as bigint) and dem.c = cast(floor((t.lon - 10) / 0.01) as bigint)")
+def _g01d(s, d):
+    return out(resample.warp([(dem48(s, d), _GEO)], _WEB, "nearest"))
+
+
+@query("G02_warp_like", f"with {_DEM} select r, c, cast(z as double) as value from dem where r < 20 and c < 30")
+def _g02(s, d):
+    template = SPEC.with_(n_rows=20, n_cols=30)
+    cells, spec = resample.warp_like([(dem48(s, d), SPEC)], template, "nearest")
+    template.require(spec)
+    return out(cells)
+
+
+@query("G04_xy_align", f"with {_DEM}, t as (select a.x as r, b.x as c from generate_series(0, 57) a(x), generate_series(0, 67) b(x)) select t.r, t.c, cast(p.z as double) as first, cast(q.z as double) as second from t left join dem p on p.r = t.r - 10 and p.c = t.c left join dem q on q.r = t.r and q.c = t.c - 20 where p.z is not null or q.z is not null")
+def _g04(s, d):
+    shifted = SPEC.with_(left=SPEC.left + 200, top=SPEC.top + 100)
+    a, b, _ = resample.xy_align((dem48(s, d), SPEC), (dem48(s, d), shifted), method="nearest")
+    both = a.withColumnRenamed("value", "first").join(b.withColumnRenamed("value", "second"), ["row", "col"], "full")
+    return both.select(F.col("row").cast("long").alias("r"), F.col("col").cast("long").alias("c"), "first", "second")
+
+
+@query("G08_mercator", "select c_custkey as id, round(6378137 * radians(cast(c_custkey % 359 as double) - 179.5), 3) as x, round(6378137 * ln(tan(pi() / 4 + radians(cast(c_custkey % 160 as double) - 80.25) / 2)), 3) as y from customer")
+def _g08(s, d):
+    from talweg.plans.grid import transform_points
+
+    k = F.col("c_custkey")
+    x, y = transform_points((k % 359).cast("double") - 179.5, (k % 160).cast("double") - 80.25, 4326, 3857)
+    return table(s, d, "customer").select(k.alias("id"), F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
 # Map algebra
 
 
@@ -202,6 +303,29 @@ _algebra("F20_flood_elevation", _plain("z + (z % 9) * cast(1.5 as double)"), lam
 _algebra("F21_area", _plain("case when z % 4 > 0 then (z % 4) * 100 / cast(1000000 as double) end"), lambda z: A.contributing_area(z % 4, 10.0, 10.0))
 
 
+_algebra("F05_mask_invalid", _plain("case when z % 3 <> 0 and z % 5 <> 0 then z end"), lambda z: A.mask_invalid(F.when(z % 3 == 0, F.lit(float("inf"))).when(z % 5 == 0, F.lit(float("nan"))).otherwise(z.cast("double"))))
+
+
+@query("F03_valid_mask", f"with {_HOLES} select r, c, z is not null as value from holes")
+def _f03(s, d):
+    return out(holes48(s, d), A.valid(F.col("value")))
+
+
+@query("F13_boolean_raster", f"with {_DEM} select r, c, cast(1 as double) as value from dem where z > 20000")
+def _f13(s, d):
+    path = f"{_folder(s)}/flags"
+    cells = dem48(s, d).select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), (F.col("value") > 20000).alias("value"))
+    rasters.to_raster(cells, SPEC, path, 16)
+    return out(rasters.Raster(s, path).cells(), digits=0)
+
+
+@query("F14_front_contains", "select a.l_orderkey as k, a.l_linenumber as n, (t.tx - t.x2) * (t.x2 - t.x1) + (t.ty - t.y2) * (t.y2 - t.y1) <= 0 as value from lineitem a, lateral (select a.l_orderkey % 5 - 2 as x1, a.l_partkey % 5 - 2 as y1, a.l_suppkey % 5 - 2 as x2, a.l_orderkey % 7 - 3 as y2, a.l_partkey % 7 - 3 as tx, a.l_suppkey % 7 - 3 as ty) t")
+def _f14(s, d):
+    o, p, u = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey"))
+    hit = A.front_contains(o % 5 - 2, p % 5 - 2, u % 5 - 2, o % 7 - 3, p % 7 - 3, u % 7 - 3)
+    return table(s, d, "lineitem").select(o.alias("k"), F.col("l_linenumber").alias("n"), hit.alias("value"))
+
+
 @query("F06_align_math", f"with {_HOLES} select g.r, g.c, round(cast(h.z as double) / nullif(g.n, 0) + g.v, 6) as value from g join holes h on g.r = h.r and g.c = h.c")
 def _f06(s, d):
     return out(holes48(s, d).join(grid48(s, d), ["row", "col"]), A.divide(F.col("value"), F.col("n")) + F.col("v"), 6)
@@ -280,7 +404,7 @@ def _n03(s, d):
 
 @query("N04_solar_radiation")
 def _n04(s, d):
-    return out(terrain.solar_radiation(dem48(s, d), 100), digits=4)
+    return out(terrain.solar_radiation(dem48(s, d), 100, spec=SPEC), digits=4)
 
 
 @query("N05_mean_of_days", f"with {_GRID}, t as (select r, c, cast(v % (k.x * 13 + 7) as double) as v from g, generate_series(1, 12) k(x)) select r, c, round(avg(v), 6) as value from t group by r, c")
@@ -294,12 +418,6 @@ def _n06(s, d):
     return out(terrain.stream_slope(dem48(s, d), streams48(s, d), SPEC), digits=4)
 
 
-@query("N07_fill_area_anti", f"with {_HOLES} select d.r, d.c from dem d join holes h on d.r = h.r and d.c = h.c where h.z is null")
-def _n07(s, d):
-    gap = holes48(s, d).where("value is null")
-    return dem48(s, d).where("value is not null").join(gap.select("row", "col"), ["row", "col"], "left_semi").select(F.col("row").alias("r"), F.col("col").alias("c"))
-
-
 @query("N07_zalign_shifted", f"with {_DEM} select r, c, round(cast(z as double), 4) as value from dem")
 def _n07b(s, d):
     source = dem48(s, d).withColumn("value", F.when(F.col("row") < 30, F.col("value")))
@@ -328,9 +446,62 @@ def _h06(s, d):
     return out(hydro.FlowAccumulation(_d8(s, d)).modals())
 
 
-@query("H02_threshold", f"with recursive {_PATH} select tr as r, tc as c, count(*) as value from path group by tr, tc having count(*) >= 40")
+_STREAM = """, n as (select tr as r, tc as c, count(*) as n from path group by tr, tc), st as (select r, c from n where n >= 40),
+    se as (select e.r, e.c, e.nr, e.nc from e join st a on a.r = e.r and a.c = e.c join st b on b.r = e.nr and b.c = e.nc),
+    fan as (select nr, nc, count(*) as k from se group by nr, nc),
+    go as (select se.r, se.c, se.nr, se.nc from se join fan on fan.nr = se.nr and fan.nc = se.nc where fan.k = 1),
+    walk(r, c, tr, tc) as (select r, c, r, c from st union all select w.r, w.c, go.nr, go.nc from walk w join go on go.r = w.tr and go.c = w.tc),
+    ends as (select w.r, w.c, w.tr, w.tc from walk w left join go on go.r = w.tr and go.c = w.tc where go.r is null),
+    seg as (select r, c, dense_rank() over (order by tr * 48 + tc) as v from ends)"""
+
+
+@query("H02_extract_streams", f"with recursive {_PATH}{_STREAM} select r, c, v as value from seg")
 def _h02(s, d):
-    return out(hydro.threshold_streams(hydro.FlowAccumulation(_d8(s, d)).modals(), 40))
+    return out(hydro.extract_streams(dem48(s, d), 10.0, 10.0, min_area=4000.0)[0], F.col("value").cast("long"))
+
+
+_DOWN = ", hop as (select r, c, tr, tc from (select p.*, row_number() over (partition by p.r, p.c order by n.n) as k from path p join st on st.r = p.tr and st.c = p.tc join n on n.r = p.tr and n.c = p.tc) t where k = 1)"
+
+
+@query("H03_auto_basin", f"with recursive {_PATH}{_STREAM}{_DOWN} select hop.r, hop.c, seg.v as value from hop join seg on seg.r = hop.tr and seg.c = hop.tc")
+def _h03b(s, d):
+    return out(hydro.auto_basin(dem48(s, d), 10.0, 10.0, 4000.0), F.col("value").cast("long"))
+
+
+@query("H11_index_from_dem", f"with recursive {_PATH}{_STREAM}{_DOWN}, below as (select nr, nc, count(*) as k from se group by nr, nc) select hop.tr as s_r, hop.tc as s_c, count(*) as cells, coalesce(max(below.k), 0) as children from hop left join below on below.nr = hop.tr and below.nc = hop.tc group by hop.tr, hop.tc")
+def _h11(s, d):
+    path = f"{_folder(s)}/index"
+    hydro.WatershedIndex.from_dem(dem48(s, d), 10.0, 10.0, 4000.0).save(path)
+    index = hydro.WatershedIndex.load(s, path)
+    children = index.tree.groupBy("point_id").agg(F.count(F.lit(1)).alias("children"))
+    p = F.col("point_id")
+    counts = index.members.groupBy("point_id").agg(F.count(F.lit(1)).alias("cells")).join(children, "point_id", "left")
+    return counts.select(F.floor(p / hydro.WIDTH).alias("s_r"), F.pmod(p, F.lit(hydro.WIDTH)).alias("s_c"), "cells", F.coalesce("children", F.lit(0)).alias("children"))
+
+
+@query("H13_locations", f"with recursive {_PATH}, g2 as (select tr as r, tc as c, min(g.v) as lo from path join g on path.r = g.r and path.c = g.c group by tr, tc) select dense_rank() over (order by last.root) as network_id, cast(500000 + (dem.c + 0.5) * 10 as double) as x, cast(4000000 - (dem.r + 0.5) * 10 as double) as y, g2.lo as lo from dem join (select p.r, p.c, p.tr * 48 + p.tc as root from path p left join e on e.r = p.tr and e.c = p.tc where e.r is null) last on last.r = dem.r and last.c = dem.c join g2 on g2.r = dem.r and g2.c = dem.c where abs(dem.c - 24) <= 1")
+def _h13(s, d):
+    index = hydro.WatershedIndex(_d8(s, d), streams48(s, d))
+    data = index.calculate_stats(grid48(s, d).withColumnRenamed("v", "value")).select("row", "col", F.col("min").alias("lo"))
+    return index.locations(SPEC, data).select(F.col("network_id").cast("long").alias("network_id"), "x", "y", "lo")
+
+
+_ALONG = """, st as (select r, c from dem where abs(c - 24) <= 1), se as (select e.r, e.c, e.nr, e.nc from e join st a on a.r = e.r and a.c = e.c join st b on b.r = e.nr and b.c = e.nc),
+    way(i, r, c, along) as (select st.r * 48 + st.c, st.r, st.c, cast(0 as double) from st left join se on se.nr = st.r and se.nc = st.c where se.nr is null
+        union all select w.i, se.nr, se.nc, w.along + sqrt(cast((se.nr - se.r) * (se.nr - se.r) + (se.nc - se.c) * (se.nc - se.c) as double)) from way w join se on se.r = w.r and se.c = w.c),
+    avgs as (select way.i, way.r, way.c, way.along, avg(g.v) over (partition by way.i order by way.along range between 4.7 preceding and current row) as m from way join g on g.r = way.r and g.c = way.c)"""
+
+
+@query("H14_upstream_mean", f"with recursive {_D8}{_ALONG} select r, c, round(m, 4) as value from (select *, row_number() over (partition by r, c order by i desc) as k from avgs where along > 0) t where k = 1")
+def _h14c(s, d):
+    return out(hydro.upstream_stats(grid48(s, d).withColumnRenamed("v", "value"), streams48(s, d), _d8(s, d), 4.7), digits=4)
+
+
+@query("H01_filled_pits", f"""with recursive {_GRID}, t as (select r, c, v % 9 as z, r = 0 or c = 0 or r = 47 or c = 47 as rim from g), o(dr, dc) as (select a.x, b.x from generate_series(-1, 1) a(x), generate_series(-1, 1) b(x)),
+    lv(r, c, z) using key (r, c) as (select r, c, z from t where rim union select t.r, t.c, min(greatest(t.z, l.z)) from lv l join o on true join t on t.r = l.r + o.dr and t.c = l.c + o.dc left join recurring.lv y on y.r = t.r and y.c = t.c where y.z is null or greatest(t.z, l.z) < y.z group by t.r, t.c)
+    select r, c, cast(z as double) as value from lv""")
+def _h01d(s, d):
+    return out(hydro.fill_depressions(grid48(s, d).select("row", "col", (F.col("v") % 9).cast("double").alias("value"))))
 
 
 @query("H07_weighted_mean", f"with recursive {_PATH} select tr as r, tc as c, round(avg(cast(g.v as double)), 4) as value from path join g on path.r = g.r and path.c = g.c group by tr, tc")
@@ -363,7 +534,7 @@ def _h04(s, d):
     return got.select(*[F.col(a).cast("long").alias(b) for a, b in (("row", "r"), ("col", "c"), ("s_row", "s_r"), ("s_col", "s_c"))])
 
 
-@query("H03_basin_labels", f"with recursive {_PATH}{_FIRST} select r, c, tr as value from hop")
+@query("H04_basin_labels", f"with recursive {_PATH}{_FIRST} select r, c, tr as value from hop")
 def _h03(s, d):
     return out(hydro.stream_basins(_d8(s, d), streams48(s, d).withColumn("value", F.col("row"))))
 
@@ -375,12 +546,6 @@ def _h10(s, d):
     return m.groupBy(F.floor(p / hydro.WIDTH).alias("s_r"), F.pmod(p, F.lit(hydro.WIDTH)).alias("s_c")).agg(F.count(F.lit(1)).alias("cells"))
 
 
-@query("H14_range_mean", "select event_id, round(avg(value) over (partition by user_id order by cast(floor(epoch(ts)) as bigint) range between 86400 preceding and current row), 6) as value from events")
-def _h14(s, d):
-    w = Window.partitionBy("user_id").orderBy(F.col("ts").cast("timestamp").cast("double").cast("long")).rangeBetween(-86400, 0)
-    return table(s, d, "events").select("event_id", F.round(F.avg("value").over(w), 6).alias("value"))
-
-
 @query("H14_upstream_window")
 def _h14b(s, d):
     return out(hydro.upstream_stats(grid48(s, d).withColumnRenamed("v", "value"), streams48(s, d), _d8(s, d), 5.0), digits=4)
@@ -439,6 +604,12 @@ def _v04(s, d):
     return got.select("rid", "lo", "hi", F.round("mean", 4).alias("mean"))
 
 
+@query("V07_attributes_on_reaches", f"with {_DEM} select cast(floor(cast(r as double) / 6) as bigint) as rid, round(cast(median(z) as double), 4) as value from dem where abs(c - 24) <= 1 group by 1")
+def _v07(s, d):
+    v = _classes(s, d).select("row", "col", F.col("value").alias("rid"))
+    return network.attributes_on_reaches(v, dem48(s, d), "median").select("rid", F.round("value", 4).alias("value"))
+
+
 @query("V05_sinuosity")
 def _v05(s, d):
     lines = table(s, d, "customer").select(F.col("c_nationkey").alias("fid"), F.col("c_custkey").alias("seq"), (F.col("c_custkey") % 97 * 10).cast("double").alias("x"), (F.col("c_custkey") % 89 * 10).cast("double").alias("y"))
@@ -447,18 +618,11 @@ def _v05(s, d):
 
 # Interpolation
 
-_OBS = "ob as (select oid, ox, oy, z from (select c_custkey as oid, cast(c_custkey % 97 as double) as ox, cast(c_custkey % 89 as double) as oy, c_acctbal as z, row_number() over (partition by c_custkey % 97, c_custkey % 89 order by c_custkey) as k from customer) t where k = 1), pr as (select s_suppkey as pid, cast(s_suppkey % 83 as double) + 0.25 as px, cast(s_suppkey % 71 as double) + 0.75 as py from supplier), pairs as (select pid, oid, z, (px - ox) * (px - ox) + (py - oy) * (py - oy) as d2 from pr, ob), nr as (select *, row_number() over (partition by pid order by d2, oid) as k from pairs)"
-
-
-def _obs(s, d):
-    k = F.col("c_custkey")
-    first = Window.partitionBy("ox", "oy").orderBy("oid")
-    t = table(s, d, "customer").select(k.alias("oid"), (k % 97).cast("double").alias("ox"), (k % 89).cast("double").alias("oy"), F.col("c_acctbal").alias("z"))
-    return t.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
+_OBS = "ob as (select c_custkey as oid, c_custkey % 97 + cast(c_custkey // 8633 * 633 % 1024 as double) / 1024 as ox, c_custkey % 89 + cast(c_custkey // 8633 * 773 % 1024 as double) / 1024 as oy, c_acctbal as z from customer), pr as (select s_suppkey as pid, cast(s_suppkey % 83 as double) + 0.25 as px, cast(s_suppkey % 71 as double) + 0.75 as py from supplier), pairs as (select pid, oid, z, (px - ox) * (px - ox) + (py - oy) * (py - oy) as d2 from pr, ob), nr as (select *, row_number() over (partition by pid order by d2, oid) as k from pairs)"
 
 
 def _all_obs(s, d):
-    """All customers: keys 8,633 apart, which share a place in _obs, are spread inside its cell."""
+    """All customers: keys 8,633 apart, whose places would repeat, are spread inside their cell."""
     k = F.col("c_custkey")
     part = lambda factor: F.floor(k / 8633) * factor % 1024 / 1024
     return table(s, d, "customer").select(k.alias("oid"), (k % 97 + part(633)).alias("ox"), (k % 89 + part(773)).alias("oy"), F.col("c_acctbal").alias("z"))
@@ -471,17 +635,17 @@ def _pred(s, d):
 
 @query("I02_idw_k3", f"with {_OBS} select pid, round(sum(z / d2) / sum(1 / d2), 4) as value from nr where k <= 3 group by pid")
 def _i02(s, d):
-    return interp.idw(_pred(s, d), _obs(s, d), 3).select("pid", F.round("value", 4).alias("value"))
+    return interp.idw(_pred(s, d), _all_obs(s, d), 3).select("pid", F.round("value", 4).alias("value"))
 
 
 @query("I03_full_idw", f"with {_OBS} select pid, round(sum(z / d2) / sum(1 / d2), 3) as value from pairs group by pid")
 def _i03(s, d):
-    return interp.full_idw(_pred(s, d), _obs(s, d)).select("pid", F.round("value", 3).alias("value"))
+    return interp.full_idw(_pred(s, d), _all_obs(s, d)).select("pid", F.round("value", 3).alias("value"))
 
 
 @query("I04_knn_mean", f"with {_OBS} select pid, round(avg(z), 4) as value from nr where k <= 5 group by pid")
 def _i04(s, d):
-    return interp.knn_mean(_pred(s, d), _obs(s, d), 5).select("pid", F.round("value", 4).alias("value"))
+    return interp.knn_mean(_pred(s, d), _all_obs(s, d), 5).select("pid", F.round("value", 4).alias("value"))
 
 
 @query("I05_bounding_idw")
@@ -499,13 +663,51 @@ def _i07(s, d):
     return out(interp.fill_nodata(holes48(s, d)), digits=4)
 
 
-@query("I10_sse_grid", "select p.a as a, round(sum(power(o - 0.04 * power(ca, p.a) * power(pr, cast(0.7 as double)), 2)), 2) as sse from (select cast(c_custkey % 50 + 1 as double) as ca, cast(c_custkey % 30 + 1 as double) / 10 as pr, c_acctbal / 1000 as o from customer) t, (values (cast(0.3 as double)), (cast(0.5 as double)), (cast(0.7 as double))) p(a) group by p.a")
-def _i10(s, d):
+_MODEL = "t as (select cast(c_custkey % 50 + 1 as double) as ca, cast(c_custkey % 30 * 10 + 100 as double) as precip, cast(c_custkey % 3 as integer) as use from customer)"
+
+
+def _morphology(s, d):
     k = F.col("c_custkey")
-    t = table(s, d, "customer").select((k % 50 + 1).cast("double").alias("ca"), ((k % 30 + 1).cast("double") / 10).alias("pr"), (F.col("c_acctbal") / 1000).alias("o"))
-    rows = t.withColumn("a", F.explode(F.array(*[F.lit(a) for a in (0.3, 0.5, 0.7)])))
-    model = 0.04 * F.pow("ca", F.col("a")) * F.pow("pr", F.lit(0.7))
-    return rows.groupBy("a").agg(F.round(F.sum(F.pow(F.col("o") - model, F.lit(2.0))), 2).alias("sse"))
+    t = table(s, d, "customer").select((k % 50 + 1).cast("double").alias("ca"), (k % 30 * 10 + 100).cast("double").alias("precip"), (k % 3).cast("int").alias("use"), "c_acctbal")
+    true = 0.05 * F.pow("ca", F.lit(0.4)) * F.pow(F.col("precip") / 10, F.lit(0.6))
+    return t.withColumn("width", F.when(F.col("use") == 1, true).otherwise(F.lit(99.0))).withColumn("noisy", true + F.col("c_acctbal") / 10000)
+
+
+@query("I10_fit_morphology", "select cast(0.05 as double) as coefficient, cast(0.4 as double) as area_exponent, cast(0.6 as double) as precipitation_exponent")
+def _i10(s, d):
+    got = interp.fit_morphology(_morphology(s, d), "width", "use")
+    return s.createDataFrame([tuple(round(v, 3) for v in got)], "coefficient double, area_exponent double, precipitation_exponent double")
+
+
+@query("F23_model_metrics", "with t as (select 0.05 * power(cast(c_custkey % 50 + 1 as double), 0.4) * power(cast(c_custkey % 30 * 10 + 100 as double) / 10, 0.6) as p, c_acctbal / 10000 as e from customer), o as (select p, p + e as o from t) select round(sum((o - p) * (o - p)), 6) as sse, round(avg(abs(o - p)), 6) as mae, round(1 - sum((o - p) * (o - p)) / (var_pop(o) * count(*)), 6) as r2 from o")
+def _f23(s, d):
+    return interp.model_metrics(_morphology(s, d), "noisy", (0.05, 0.4, 0.6)).select(*[F.round(c, 6).alias(c) for c in ("sse", "mae", "r2")])
+
+
+_PLANE = "3 * x - 2 * y + 7"
+
+
+def _on_plane(s, d):
+    return _all_obs(s, d).withColumn("z", 3 * F.col("ox") - 2 * F.col("oy") + 7)
+
+
+@query("I09_linear", f"with {_OBS} select pid, round(3 * px - 2 * py + 7, 4) as value from pr where px between 15 and 75 and py between 15 and 65")
+def _i09(s, d):
+    pred = _pred(s, d).where("px between 15 and 75 and py between 15 and 65")
+    return interp.linear(pred, _on_plane(s, d), -1.0).select("pid", F.round("value", 4).alias("value"))
+
+
+@query("I08_spline_surface", f"with {_OBS} select c as c, r as r, round(cast(3 * c - 2 * r + 7 as double), 1) as value from (select a.x as r, b.x as c from generate_series(20, 40) a(x), generate_series(20, 50) b(x)) t")
+def _i08(s, d):
+    pts = _on_plane(s, d).select(F.col("ox").alias("x"), F.col("oy").alias("y"), "z")
+    target = SPEC.with_(n_cols=60).cells(s).where("row between 20 and 40 and col between 20 and 50").select("row", "col")
+    return out(interp.spline_surface(pts, target, smooth=1e-8), digits=1)
+
+
+@query("I07_fill_plane", f"with {_HOLES} select r, c, round(cast(3 * c - 2 * r + 7 as double), 4) as value from holes")
+def _i07b(s, d):
+    plane = holes48(s, d).withColumn("value", F.when(F.col("value").isNotNull(), 3.0 * F.col("col") - 2.0 * F.col("row") + 7))
+    return out(interp.fill_nodata(plane), digits=4)
 
 
 # Distances and costs
@@ -582,3 +784,28 @@ def _r08(s, d):
 @query("R10_reach_class", f"with {_HOLES} select r, c, cast(1000000 + coalesce(case when z is null then 0 else least(cast(floor(cast(z % 3000 as double) / 2) as bigint) + 1, 500) end, 0) * 1000 + coalesce(case when z is null then 0 else least(cast(floor(cast(z % 100 as double) / 2) as bigint) + 1, 45) end, 0) * 10 + 0 as bigint) as value from holes")
 def _r10(s, d):
     return out(holes48(s, d), A.reach_class((F.col("value") % 100).cast("double"), (F.col("value") % 3000).cast("double"), F.lit(None).cast("int"), F.lit(1)))
+
+
+def valley(s, d):
+    """A valley with a stream that runs south, side slopes of a few degrees, noise, and precipitation."""
+    side = F.abs(F.col("col") - 24)
+    return grid48(s, d).select("row", "col", (200 - F.col("row") * 0.2 + side * 0.6 + (F.col("v") % 200) / 1000).alias("value"))
+
+
+def _rain(s, d):
+    return grid48(s, d).select("row", "col", (1000 + F.col("v") % 300).cast("double").alias("value"))
+
+
+@query("R01_riparian_connectivity")
+def _r01(s, d):
+    chain = workflows.RiparianConnectivity(valley(s, d), SPEC)
+    chain.extract_streams(20_000.0).calc_twi().define_region(740.0).calc_bankfull_width(_rain(s, d), spec=SPEC).calc_stream_slope().calc_stream_density(50.0)
+    return out(chain.calc_connectivity(vector=False), F.col("value").cast("long"))
+
+
+@query("R09_stream_analysis")
+def _r09(s, d):
+    lakes = grid48(s, d).select("row", "col", F.when((F.col("row") > 40) & (F.abs(F.col("col") - 24) < 3), 1.0).alias("value"))
+    cover = grid48(s, d).select("row", "col", (F.col("v") % 3).cast("double").alias("value"))
+    got = workflows.stream_analysis(valley(s, d), _rain(s, d), SPEC, lakes, 20_000.0, 0.0, {"tmin": _rain(s, d)}, cover, {1: "forest", 2: "field"})
+    return got.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in got.dtypes])
