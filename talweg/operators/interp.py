@@ -58,7 +58,8 @@ def with_neighbours(pred: DataFrame, obs: DataFrame, k: int, fold: Fold, out: li
         raise ValueError("no observations")
     k = min(k, n)
     extent = max(x1 - x0, y1 - y0)
-    side = max(math.sqrt(max((x1 - x0) * (y1 - y0), extent * extent * 1e-6, 1e-12) * 2 * k / n), extent * 1e-7, 1e-9)
+    # About 2k observations a bucket, spread over the plane or along a line.
+    side = max(math.sqrt(max((x1 - x0) * (y1 - y0), 0.0) * 2 * k / n), extent * 2 * k / n, 1e-9)
     obs = cut(obs.select("oid", "ox", "oy", "z"))
     columns = pred.columns
     schema = StructType([*pred.schema.fields, *out, StructField("_sure", BooleanType())])
