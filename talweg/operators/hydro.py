@@ -224,7 +224,12 @@ def drain(direction: DataFrame, values: DataFrame | None = None, sums: dict[str,
         for batch in batches:
             for i in range(len(batch)):
                 tr, tc = (batch.column(k)[i].as_py() for k in (0, 1))
-                flow, layers, steps, length, whole = load(tr, tc, batch.column(2)[i].as_buffer())
+                try:
+                    flow, layers, steps, length, whole = load(tr, tc, batch.column(2)[i].as_buffer())
+                except RuntimeError:  # the driver raises it
+                    bad = [pa.array([-1], pa.int64()), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([0.0]), pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.float64())] * (1 + len(sums))]
+                    yield pa.RecordBatch.from_arrays(bad, [x.split()[0] for x in link_schema.split(", ")])
+                    continue
                 for n, layer in layers.items():
                     flow.gather(layer, sums[n])
                 end = np.arange(span)
@@ -239,7 +244,9 @@ def drain(direction: DataFrame, values: DataFrame | None = None, sums: dict[str,
 
     met = cut(tiles.mapInArrow(links, link_schema))
     exits = met.where("to is not null")
-    crossing = not exits.isEmpty()
+    crossing, least = met.agg(F.max(F.col("to").isNotNull()), F.min("term")).first()
+    if least == -1:
+        raise RuntimeError("flow runs in a circle")
     state = tiles
     gone = "struct<cell:int,root:long,steps:long,length:double>"
     got = "struct<cell:int" + "".join(f",{n}:double" for n in sums) + ">"

@@ -23,8 +23,8 @@ from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField,
 
 from talweg.plans.graph import cut
 
-#: Observations and predictions of a bucket that one task compares, about.
-BLOCK = 200_000
+#: Predictions of a bucket that one task takes, about.
+SMALL = 20_000
 #: Pairs held at a time.
 HELD = 4_000_000
 Fold = Callable[[pa.Table, pa.Table, np.ndarray, np.ndarray], pa.Table]
@@ -104,7 +104,7 @@ def with_neighbours(pred: DataFrame, obs: DataFrame, k: int, fold: Fold, out: li
         if done is not None:
             near = near.join(asked.select("_bx", "_by").distinct(), ["_bx", "_by"], "left_semi")
         # Many predictions in a bucket are dealt over several tasks.
-        salts = max(1, math.ceil(pred.count() * 2 * k / n / BLOCK)) if done is None else 1
+        salts = max(1, math.ceil(pred.count() * 2 * k / n / SMALL)) if done is None else 1
         asked = asked.withColumn("_s", F.pmod(F.xxhash64("px", "py"), F.lit(salts)).cast("int"))
         near = near.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         keys = ("_bx", "_by", "_s")

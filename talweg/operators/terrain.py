@@ -136,7 +136,7 @@ def mean_radiation(dem: DataFrame, days: list[int] | range = range(15, 365, 30),
             beam = near * transmission ** (1 / np.maximum(high, 0.05)) * np.maximum(lit, 0) * (high > 0)
             for k in range(1, shading + 1) if (high > 0).any() else ():
                 flat = np.hypot(east, north) + 1e-12
-                dc, dr = np.rint(k * east / flat).astype(int), np.rint(-k * north / flat).astype(int)
+                dc, dr = (np.nan_to_num(np.rint(k * x / flat)).astype(int) for x in (east, -north))
                 r, c = np.indices(z.shape)
                 there = a[0, r + halo + dr, c + halo + dc]
                 away = np.hypot(dc * spec.csx, dr * spec.csy)
