@@ -163,6 +163,34 @@ def test_pipeline_drops_similar_texts(spark):
     assert near_dedup(spark, docs.limit(0), "").count() == 0
 
 
+def test_cells_of_hot_bands(spark):
+    from talweg.llm.similar import cells, node_labels, with_nodes
+
+    rng = np.random.default_rng(6)
+    # Band 1 is hot, with one large component and 30 nodes outside; band 2 is small but cut, band 3 is small and done, band 4 is of one component.
+    rows = [(1, n, 0 if n < 270 else n // 2) for n in range(300)] + [(2, 1, 1), (2, 2, 2), (3, 3, 3), (3, 4, 4)] + [(4, n, 5) for n in range(50)]
+    placed = spark.createDataFrame(rows, "band long, node long, label long").repartition(5)
+    nodes = spark.createDataFrame([(n, 10, bytes(128)) for n in range(300)], "node long, size long, parity binary")
+    cut = spark.createDataFrame([(2,), (4,)], "cut long")
+    found = {}
+    for r in cells(placed, cut, nodes, 16).collect():
+        found.setdefault(r.cell, []).append((r.minor, r.node, r.label))
+    met = {frozenset((a[1], b[1])) for c in found.values() for a in c for b in c if a[0] and not b[0] and a[2] != b[2]}
+    want = {frozenset((a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2] and a[0] in (1, 2)}
+    assert met == want and max(map(len, found.values())) < 100
+
+    base = [f"base{i}" for i in range(120)]
+    texts = []
+    for k in range(60):  # chains of near copies around one text
+        own = list(base)
+        for i in rng.choice(120, int(rng.integers(1, 5)), replace=False):
+            own[i] = f"f{k}x{i}"
+        texts.append((k, " ".join(own)))
+    docs = with_nodes(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), "text", ["c0", "c1"], 5).cache()
+    labels = [sorted((r.node, r.n, r.label, r.linked) for r in node_labels(docs, "c1", wide=w).collect()) for w in (4, 512)]
+    assert labels[0] == labels[1] and len(labels[0]) == 60
+
+
 def test_topk(spark):
     from talweg.llm.topk import top_k
 
