@@ -163,6 +163,78 @@ def test_pipeline_drops_similar_texts(spark):
     assert near_dedup(spark, docs.limit(0), "").count() == 0
 
 
+def test_near_dedup_compares_what_shares_an_anchor(spark):
+    from pyspark.sql import functions as F
+
+    from talweg.llm import similar
+
+    rng = np.random.default_rng(12)
+    sets = []
+    for g in range(60):  # groups of similarity 0.8 to the first of each, in which fingerprints are some ten of 64 bits apart
+        base = rng.integers(0, 1 << 64, 4 if g % 6 == 0 else 90, dtype=np.uint64)
+        sets.append(base)
+        for _ in range(g % 4):
+            sets.append(np.concatenate([base if g % 6 == 0 else base[10:], rng.integers(0, 1 << 64, 1 if g % 6 == 0 else 10, dtype=np.uint64)]))
+    made = [similar.describe(np.unique(x)) for x in sets]
+    prints = np.array([similar.fingerprints(np.unique(x)) for x in sets])
+    ones = [sum(int(h) >> b & 1 for h in sets[7]) for b in range(64)]
+    assert int(prints[7, 0]) % (1 << 64) == sum(1 << b for b in range(64) if 2 * ones[b] > len(sets[7]))
+    at = [set() for _ in sets]
+    for r, a in zip(*similar.anchors(prints)):
+        at[r].add(int(a))
+    apart = lambda x, y: [int(a ^ b) % (1 << 64) for a, b in zip(prints[x].tolist(), prints[y].tolist())]
+    want, similar_pairs, far = set(), set(), 0
+    for x in range(len(sets)):
+        for y in range(x):
+            d = apart(x, y)
+            low, high = sorted((len(set(sets[x].tolist())), len(set(sets[y].tolist()))))
+            both = len(set(sets[x].tolist()) & set(sets[y].tolist()))
+            pair = tuple(sorted((made[x][0], made[y][0])))
+            if sum((v & (1 << 46) - 1).bit_count() for v in d) < 3 * similar.PIECES:
+                assert at[x] & at[y]
+            if both * 5 >= (low + high - both) * 4:
+                similar_pairs.add(pair)
+                far += d[0].bit_count() > 3
+            if at[x] & at[y] and low * 5 >= high * 4 and d[0].bit_count() + d[1].bit_count() <= similar.BITS:
+                want.add(pair)
+    assert similar_pairs <= want and len(similar_pairs) > 80 and far > 60
+    rows = [(node, size, bytearray(parity), bytearray(own), None) for node, size, parity, own in made]
+    nodes = spark.createDataFrame(rows, "node long, size long, parity binary, prints binary, label long").repartition(3)
+    pairs = lambda df: {(r.u, r.v) for r in df.collect()}
+    found = pairs(similar.anchor_pairs(nodes, similar.LEAST, frozenset()))
+    assert similar_pairs <= found <= want
+    # Anchors taken apart as crowded are compared in blocks, and what is of one component is not compared.
+    every = frozenset(a for x in at for a in x)
+    half = frozenset(sorted(every)[::2])
+    assert found <= pairs(similar.anchor_pairs(nodes, similar.LEAST, half)) | pairs(similar.crowded_pairs(nodes, similar.LEAST, half, 2))
+    assert not pairs(similar.anchor_pairs(nodes, similar.LEAST, every)) and similar_pairs <= pairs(similar.crowded_pairs(nodes, similar.LEAST, every, 2))
+    assert not pairs(similar.anchor_pairs(nodes.withColumn("label", F.lit(min(m[0] for m in made))), similar.LEAST, frozenset()))
+
+
+def test_large_components_at_an_anchor(monkeypatch):
+    from talweg.llm import similar
+
+    rng = np.random.default_rng(13)
+    n = 600
+    cell, size = np.sort(rng.integers(0, 3, n)), rng.integers(20, 60, n)
+    order = np.lexsort((size, cell))
+    size = size[order]
+    node = rng.permutation(n).astype(np.int64)
+    label = np.where(rng.random(n) < 0.7, np.where(rng.random(n) < 0.6, 3, 5), node)
+    bits = rng.integers(0, 2, (n, 2 + similar.FOLDED), dtype=np.uint64)
+    want = {
+        (int(min(node[x], node[y])), int(max(node[x], node[y])))
+        for x in range(n)
+        for y in range(x)
+        if cell[x] == cell[y] and label[x] != label[y] and min(size[x], size[y]) * 5 >= max(size[x], size[y]) * 4 and (bits[x, 2:] != bits[y, 2:]).sum() * 9 <= size[x] + size[y]
+    }
+    for group, at_once in ((64, 2_000_000), (3, 50), (1000, 700)):
+        monkeypatch.setattr(similar, "GROUP", group)
+        monkeypatch.setattr(similar, "PAIRS", at_once)
+        found = [tuple(r) for f in similar._meet(cell, size, node, label, bits, similar.LEAST) for r in f.tolist()]
+        assert set(found) == want and len(found) == len(want)
+
+
 def test_cells_of_hot_bands(spark):
     from talweg.llm.similar import cells, node_labels, with_nodes
 
