@@ -412,16 +412,22 @@ def node_labels(rows: DataFrame, text_at: str, words: int = WORDS, least: Fracti
     able = nodes.where(F.col("size") * (least.denominator - least.numerator) >= least.numerator)
     bands = able.select("node", "prints").mapInArrow(_exact_rows, "band long, node long").repartitionByRange("band", "node").sortWithinPartitions("band", "node")
     first = materialize(bands.mapInArrow(_neighbours, "u long, v long, cut long").where("cut is null").select("u", "v").distinct(), "first-pairs")
-    near = links(first, nodes, rows, text_at, words, least)
-    labelled = materialize(able.join(components(near), "node", "left"), "labelled-nodes")
+    labels = components(links(first, nodes, rows, text_at, words, least))
+    labelled = materialize(able.join(labels, "node", "left"), "labelled-nodes")
     counts = able.select("prints").mapInArrow(_counts, "band long, n long").groupBy("band").agg(F.sum("n").alias("n"))
     crowded = frozenset(r["band"] for r in counts.where(F.col("n") > crowd).collect())  # at most PIECES << 12
     rest = anchor_pairs(labelled, least, crowded)
     if crowded:
         rest = rest.unionByName(crowded_pairs(labelled, least, crowded, wide)).distinct()
     rest = materialize(rest.join(first, ["u", "v"], "left_anti"), "other-pairs")
-    labels = components(near.unionByName(links(rest, nodes, rows, text_at, words, least)))
-    return nodes.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), F.col("label").isNotNull().alias("linked"))
+    # The components so far are the nodes of what links them.
+    more = links(rest, nodes, rows, text_at, words, least)
+    for end in ("u", "v"):
+        more = more.join(labels.toDF(end, "label"), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+    merged = components(more.distinct()).toDF("part", "whole")
+    parts = nodes.select("node", "n").join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
+    linked = F.col("label").isNotNull() | F.col("whole").isNotNull()
+    return parts.join(merged, "part", "left").select("node", "n", F.coalesce("whole", "part").alias("label"), linked.alias("linked"))
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: Fraction = LEAST) -> DataFrame:
