@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from talweg.llm._common import release, scratch, scratch_path
 
 
+#: Bytes of text that packing encodes at a time: its workers run beside executors that all stages have filled.
+PACKED_AT_A_TIME = 1_000_000
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go."""
     from talweg.llm.toxicity import drop_toxic, train
@@ -49,7 +53,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from talweg.llm.packing import pack
 
     # Texts from the web may spell an added token: in the corpus that is ordinary text.
-    out = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, added=False)
+    out = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, added=False, most=PACKED_AT_A_TIME)
     return out.withColumnRenamed("id", "doc_id")
 
 

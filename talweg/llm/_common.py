@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +74,50 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Functions whose lru_cache a worker process keeps from task to task.
+_kept: list = []
+
+
+def kept(cached: Callable) -> Callable:
+    """Mark a function with an lru_cache as one that workers keep, see :func:`lean`."""
+    _kept.append(cached)
+    return cached
+
+
+def give_back() -> None:
+    """Return to the system what Arrow and the C library hold of freed memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def _lean(run: Callable, keep: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if not keep and any(cached.cache_info().currsize for cached in _kept):
+        for cached in _kept:
+            cached.cache_clear()
+        give_back()
+    try:
+        yield from run(batches)
+    finally:
+        give_back()
+
+
+def lean(run: Callable, keep: bool = False) -> Callable:
+    """``run`` for mapInArrow in workers that outlive it.
+
+    Spark reuses a worker for other operators and lets it idle beside JVM
+    tasks, within the executor's memory.  So a task gives freed memory back at
+    its end, and unless it uses them itself (``keep``) it first drops the
+    caches that earlier operators left in the worker.
+    """
+
+    def task(batches):
+        return _lean(run, keep, batches)
+
+    return task
+
+
 def positional(df: DataFrame) -> DataFrame:
     """The same rows under the names c0, c1, ...: no name of the caller can clash with an operator's own."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

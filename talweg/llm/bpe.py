@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from talweg.llm._common import at, pick, positional
+from talweg.llm._common import at, kept, pick, positional
 
 #: Most entries in each of a worker's caches; the older half of a full cache goes.
 CACHE = 400_000
@@ -286,6 +286,7 @@ class Codec:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
+@kept
 @functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str, added: bool = False) -> Codec:
     """One codec for each worker process."""

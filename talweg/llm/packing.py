@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talweg.llm._common import pick
-from talweg.llm.bpe import codec, packed_rows, slices
+from talweg.llm._common import lean, pick
+from talweg.llm.bpe import BATCH_CHARS, codec, packed_rows, slices
 
 SEQUENCE = 2048
 
@@ -27,7 +27,7 @@ def piece_lengths(n: int, longest: int = SEQUENCE) -> list[int]:
     return out + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
 
 
-def pack(df: DataFrame, path: str, pattern: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", longest: int = SEQUENCE, added: bool = True) -> DataFrame:
+def pack(df: DataFrame, path: str, pattern: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", longest: int = SEQUENCE, added: bool = True, most: int = BATCH_CHARS) -> DataFrame:
     """One row per piece: ``id, start, length, ids`` (packed), ``doc_tokens, bucket, batch_id, sequence_id, offset``.
 
     ``longest`` is a power of two.  A null or empty text is one piece, the end
@@ -38,6 +38,8 @@ def pack(df: DataFrame, path: str, pattern: str, end_id: int = 1, id_col: str =
     ids together, or fewer in the last batch of a bucket and partition: stacked,
     they are a rectangle without padding.  With ``added`` the strings of added
     tokens in a text become those tokens, as the tokenizers library has it.
+    About ``most`` bytes of text are encoded at a time: fewer take less of a
+    worker's memory and more time, and the pieces are the same.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -51,7 +53,7 @@ def pack(df: DataFrame, path: str, pattern: str, end_id: int = 1, id_col: str =
         part = TaskContext.get().partitionId()
         met = np.zeros(powers + 1, np.int64)  # pieces of each bucket so far
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, most=most):
                 ids, ends = own.encode_column(batch.column(1))
                 n = len(ends)
                 if not n:
@@ -78,7 +80,7 @@ def pack(df: DataFrame, path: str, pattern: str, end_id: int = 1, id_col: str =
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    pieces = rows.mapInArrow(run, f"id {kind}, start long, length long, ids binary, doc_tokens long, bucket int, batch_id long")
+    pieces = rows.mapInArrow(lean(run, keep=True), f"id {kind}, start long, length long, ids binary, doc_tokens long, bucket int, batch_id long")
     return pieces.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 

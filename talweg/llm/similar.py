@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talweg.llm._common import at, materialize, positional, spread_join
+from talweg.llm._common import at, lean, materialize, positional, spread_join
 from talweg.llm.bpe import slices
 from talweg.llm.exact_dedup import bit_array, flag
 from talweg.llm.simhash import LENGTH, SEED, components, coset_table, keep_one, shingle_hashes
@@ -88,17 +88,18 @@ def describe(own: np.ndarray) -> tuple[int, int, bytes, bytes]:
 
 def with_nodes(df: DataFrame, text_col: str, keep: list[str], words: int) -> DataFrame:
     """The columns ``keep`` (by position) and ``node, size, parity, prints``."""
-    rows = positional(df).select(F.col(at(df, text_col)).alias("text"), *keep)
+    text_at = at(df, text_col)
+    rows = positional(df).select(*dict.fromkeys([*keep, text_at]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
-                found = zip(*[describe(shingles(x, words)) for x in batch.column(0).to_pylist()])
+            for batch in slices(whole, text_at):
+                found = zip(*[describe(shingles(x, words)) for x in batch.column(text_at).to_pylist()])
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 made = [pa.array(x, kind) for x, kind in zip(found, kinds)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*batch.schema.names[1:], "node", "size", "parity", "prints"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [*keep, "node", "size", "parity", "prints"])
 
-    return rows.mapInArrow(run, rows.drop("text").schema.add("node", "long").add("size", "long").add("parity", "binary").add("prints", "binary"))
+    return rows.mapInArrow(lean(run), rows.select(*keep).schema.add("node", "long").add("size", "long").add("parity", "binary").add("prints", "binary"))
 
 
 @functools.lru_cache(maxsize=1)
@@ -284,13 +285,13 @@ def links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text_at: str, wor
     side = lambda df, x: df.toDF(x, *[f"{c}_{x}" for c in df.columns[1:]])
     sides = nodes.select("node", "size", "parity")
     asked = pairs.join(side(sides, "u"), "u").join(side(sides, "v"), "v").select("u", "v", "size_u", "size_v", "parity_u", "parity_v")
-    asked = materialize(asked.mapInArrow(possible, "u long, v long"), "possible-pairs")
+    asked = materialize(asked.mapInArrow(lean(possible), "u long, v long"), "possible-pairs")
     own = materialize(asked.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "compared-nodes")
     texts = flag(rows.select("node", F.col(text_at).alias("text")), "node", *bit_array(own, "node", own.count(), 1)).where("possible").select("node", "text")
     texts = texts.groupBy("node").agg(F.first("text").alias("text")).join(own, "node", "left_semi")
-    sets = materialize(texts.select("node", "text").mapInArrow(hashed, "node long, own binary"), "shingle-sets")
+    sets = materialize(texts.select("node", "text").mapInArrow(lean(hashed), "node long, own binary"), "shingle-sets")
     met = asked.join(side(sets, "u"), "u").join(side(sets, "v"), "v").select("u", "v", "own_u", "own_v")
-    return materialize(met.mapInArrow(similar, "u long, v long"), "links")
+    return materialize(met.mapInArrow(lean(similar), "u long, v long"), "links")
 
 
 def cells(placed: DataFrame, cut: DataFrame, nodes: DataFrame, wide: int = WIDE) -> DataFrame:
@@ -363,8 +364,8 @@ def anchor_pairs(nodes: DataFrame, least: Fraction, crowded: frozenset[int]) ->
         if held:
             yield from met()
 
-    made = nodes.select("node", "size", "parity", "prints", "label").mapInArrow(rows, "cell long, size long, node long, label long, " + ", ".join(f"{c} long" for c in names))
-    return made.repartition("cell").sortWithinPartitions("cell", "size").mapInArrow(compare, "u long, v long").distinct()
+    made = nodes.select("node", "size", "parity", "prints", "label").mapInArrow(lean(rows), "cell long, size long, node long, label long, " + ", ".join(f"{c} long" for c in names))
+    return made.repartition("cell").sortWithinPartitions("cell", "size").mapInArrow(lean(compare), "u long, v long").distinct()
 
 
 def crowded_pairs(nodes: DataFrame, least: Fraction, crowded: frozenset[int], wide: int) -> DataFrame:
@@ -400,9 +401,9 @@ def crowded_pairs(nodes: DataFrame, least: Fraction, crowded: frozenset[int], wi
             yield from compare()
 
     named = nodes.select("node", F.coalesce("label", "node").alias("label"), "prints")
-    placed = materialize(named.mapInArrow(rows, "band long, node long, label long"), "crowded-rows")
+    placed = materialize(named.mapInArrow(lean(rows), "band long, node long, label long"), "crowded-rows")
     cut = placed.select(F.col("band").alias("cut")).distinct()  # nothing of these anchors has been compared in full
-    return cells(placed, cut, nodes, wide).repartition("cell").sortWithinPartitions("cell").mapInArrow(across, "u long, v long").distinct()
+    return cells(placed, cut, nodes, wide).repartition("cell").sortWithinPartitions("cell").mapInArrow(lean(across), "u long, v long").distinct()
 
 
 def node_labels(rows: DataFrame, text_at: str, words: int = WORDS, least: Fraction = LEAST, wide: int = WIDE, crowd: int = CROWD) -> DataFrame:
@@ -410,11 +411,11 @@ def node_labels(rows: DataFrame, text_at: str, words: int = WORDS, least: Fracti
     nodes = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("size", "parity", "prints")]), "nodes")
     # Different sets of fewer shingles cannot be similar.
     able = nodes.where(F.col("size") * (least.denominator - least.numerator) >= least.numerator)
-    bands = able.select("node", "prints").mapInArrow(_exact_rows, "band long, node long").repartitionByRange("band", "node").sortWithinPartitions("band", "node")
-    first = materialize(bands.mapInArrow(_neighbours, "u long, v long, cut long").where("cut is null").select("u", "v").distinct(), "first-pairs")
+    bands = able.select("node", "prints").mapInArrow(lean(_exact_rows), "band long, node long").repartitionByRange("band", "node").sortWithinPartitions("band", "node")
+    first = materialize(bands.mapInArrow(lean(_neighbours), "u long, v long, cut long").where("cut is null").select("u", "v").distinct(), "first-pairs")
     labels = components(links(first, nodes, rows, text_at, words, least))
     labelled = materialize(able.join(labels, "node", "left"), "labelled-nodes")
-    counts = able.select("prints").mapInArrow(_counts, "band long, n long").groupBy("band").agg(F.sum("n").alias("n"))
+    counts = able.select("prints").mapInArrow(lean(_counts), "band long, n long").groupBy("band").agg(F.sum("n").alias("n"))
     crowded = frozenset(r["band"] for r in counts.where(F.col("n") > crowd).collect())  # at most PIECES << 12
     rest = anchor_pairs(labelled, least, crowded)
     if crowded:

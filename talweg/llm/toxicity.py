@@ -31,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talweg.llm._common import at, materialize, pick, positional
+from talweg.llm._common import at, lean, materialize, pick, positional
 from talweg.llm.bpe import slices
 from talweg.llm.linear import Design, apply, bucket, logistic, sigmoid
 
 LABELLED, FEATURES, FOLDS = 8000, 2000, 3
 #: Words remembered by a worker; a full memory is emptied.
 CACHE = 400_000
+#: Rows scored at a time, as a dense matrix.
+SCORED = 250
 CATEGORIES = ("abusive_word", "abusive_stem", "toxic")
 _WORD = re.compile(r"\w+")
 
@@ -144,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             columns = zip(*((*k, n) for k, n in seen.items())) if seen else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int64()))], ["kind", "bucket", "side", "n"])
 
-    counted = sample.select("text", "y", "fold").mapInArrow(count, "kind string, bucket long, side int, n long")
+    counted = sample.select("text", "y", "fold").mapInArrow(lean(count), "kind string, bucket long, side int, n long")
     sides = [F.sum(F.when(F.col("side") == i, F.col("n")).otherwise(0)).alias(f"s{i}") for i in range(2 * FOLDS)]
     counted = materialize(counted.groupBy("kind", "bucket").agg(*sides), "feature-counts")
 
@@ -169,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             hit = [sorted({b for w in words_of(t) for _, b in features_of(w) if b in wanted}) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(hit, pa.list_(pa.int32())), batch.column(1), batch.column(2)], ["hit", "y", "fold"])
 
-    rows = sample.orderBy("id").select("text", "y", "fold").mapInArrow(found, "hit array<int>, y int, fold int").collect()  # at most LABELLED
+    rows = sample.orderBy("id").select("text", "y", "fold").mapInArrow(lean(found), "hit array<int>, y int, fold int").collect()  # at most LABELLED
     return fit_chain([r["hit"] for r in rows], np.array([r["y"] > 0 for r in rows]), np.array([r["fold"] for r in rows]), choices)
 
 
@@ -193,23 +195,23 @@ class _Finder:
         return x
 
 
-def _scored(rows: DataFrame, chain: Chain | None) -> DataFrame:
-    """Rows (text first) without the text, with one probability column a category."""
-    schema = rows.drop("text").schema
+def _scored(rows: DataFrame, chain: Chain | None, text: str, names: list[str]) -> DataFrame:
+    """The columns ``names`` of the rows, with one probability column a category for the column ``text``."""
+    schema = rows.select(*names).schema
     for name in CATEGORIES:
         schema = schema.add(f"p_{name}", "double")
 
     def run(batches):
         finder = _Finder(chain) if chain else None
         for whole in batches:
-            for batch in slices(whole):
-                for start in range(0, len(batch), 1000):
-                    part = batch.slice(start, 1000)
-                    texts = part.column(0).to_pylist()
+            for batch in slices(whole, text):
+                for start in range(0, len(batch), SCORED):
+                    part = batch.slice(start, SCORED)
+                    texts = part.column(text).to_pylist()
                     p = chain.scores(finder.matrix(texts)) if chain else np.zeros((len(texts), len(CATEGORIES)))
-                    yield pa.RecordBatch.from_arrays([*part.columns[1:], *(pa.array(c) for c in p.T)], schema.names)
+                    yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *(pa.array(c) for c in p.T)], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def score(df: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text", limit: float = 0.5) -> DataFrame:
@@ -219,14 +221,13 @@ def score(df: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col:
     toxic.  Without a chain (no labels of both classes) nothing is.  Repeated
     rows each get their own result; an empty table gives an empty result.
     """
-    rows = pick(df, doc_id=id_col, text=text_col).select("text", "doc_id")
-    out = _scored(rows.withColumn("blank", F.coalesce(F.trim("text"), F.lit("")) == ""), chain)
+    rows = pick(df, doc_id=id_col, text=text_col)
+    out = _scored(rows.withColumn("blank", F.coalesce(F.trim("text"), F.lit("")) == ""), chain, "text", ["doc_id", "blank"])
     return out.withColumn("toxic", ~F.col("blank") & (F.col(f"p_{CATEGORIES[-1]}") >= limit)).drop("blank")
 
 
 def drop_toxic(df: DataFrame, chain: Chain | None, text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows that are not toxic, all columns as they were."""
-    names = [f"c{i}" for i in range(len(df.columns))]
-    rows = positional(df).select(F.col(at(df, text_col)).alias("text"), *names)
-    kept = _scored(rows, chain).where((F.coalesce(F.trim(at(df, text_col)), F.lit("")) == "") | (F.col(f"p_{CATEGORIES[-1]}") < limit))
+    names, text_at = [f"c{i}" for i in range(len(df.columns))], at(df, text_col)
+    kept = _scored(positional(df), chain, text_at, names).where((F.coalesce(F.trim(text_at), F.lit("")) == "") | (F.col(f"p_{CATEGORIES[-1]}") < limit))
     return kept.select(*names).toDF(*df.columns)

@@ -638,6 +638,30 @@ def test_shared_folder_and_release(spark):
         _common.shared_dir(Far)
 
 
+def test_workers_drop_what_earlier_operators_left(spark, tok):
+    from talweg.llm import toxicity
+    from talweg.llm.bpe import codec
+    from talweg.llm.packing import pack
+    from talweg.llm.similar import with_nodes
+
+    class Held(toxicity.Chain):
+        """Scores are the codecs that the worker holds."""
+
+        def scores(self, x):
+            return np.full((len(x), len(toxicity.CATEGORIES)), float(codec.cache_info().currsize))
+
+    rows = spark.createDataFrame([(i, f"text number {i}") for i in range(200)], "doc_id long, text string").repartition(8)
+    whole = pack(rows, tok.path("byte_bpe_50k.json"), tok.PATTERN)
+    parts = pack(rows, tok.path("byte_bpe_50k.json"), tok.PATTERN, most=20)
+    key = ["id", "start", "length", "ids", "doc_tokens", "bucket"]
+    assert sorted(whole.select(key).collect()) == sorted(parts.select(key).collect())
+    assert toxicity.score(rows, Held({}, ())).where("p_toxic > 0").count() == 0
+    # Each text goes to a worker once.
+    for out in (toxicity.drop_toxic(rows, None), with_nodes(rows, "text", ["c0", "c1"], 5)):
+        plan = out._jdf.queryExecution().analyzed().toString()
+        assert len(re.search(r"MapInArrow \w+\(([^)]*)\)", plan)[1].split(",")) == 2, plan
+
+
 PIPELINE_DOCS = "doc_id long, text string, lang string, source string, n_chars long, row int, label string"
 
 
