@@ -84,9 +84,11 @@ class Codec:
     With ``added`` (JSON vocabularies only) the strings of added tokens in a
     text become those tokens, as in the tokenizers library; otherwise they are
     ordinary text.  Any pattern will do; :data:`PATTERN` is encoded faster.
+    Each of the two caches has up to ``most`` entries and those of one batch.
     """
 
-    def __init__(self, path: str, pattern: str, added: bool = False):
+    def __init__(self, path: str, pattern: str, added: bool = False, most: int | None = None):
+        self.most = CACHE if most is None else most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer, models, pre_tokenizers
@@ -228,7 +230,7 @@ class Codec:
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As encode_column: each distinct word of the batch is looked up once, and Arrow and numpy put the ids together."""
         for cache in (self.words, self.matches):
-            if len(cache) > CACHE:
+            if len(cache) > self.most:
                 for old in list(itertools.islice(cache, len(cache) // 2)):
                     del cache[old]
         n = len(texts)
@@ -288,9 +290,9 @@ class Codec:
 
 @kept
 @functools.lru_cache(maxsize=2)
-def codec(path: str, pattern: str, added: bool = False) -> Codec:
+def codec(path: str, pattern: str, added: bool = False, most: int | None = None) -> Codec:
     """One codec for each worker process."""
-    return Codec(path, pattern, added)
+    return Codec(path, pattern, added, most)
 
 
 def packed_rows(ids: np.ndarray, ends: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talweg.llm._common import lean, pick
-from talweg.llm.bpe import BATCH_CHARS, codec, packed_rows, slices
+from talweg.llm.bpe import BATCH_CHARS, CACHE, codec, packed_rows, slices
 
 SEQUENCE = 2048
 
@@ -38,8 +38,8 @@ def pack(df: DataFrame, path: str, pattern: str, end_id: int = 1, id_col: str =
     ids together, or fewer in the last batch of a bucket and partition: stacked,
     they are a rectangle without padding.  With ``added`` the strings of added
     tokens in a text become those tokens, as the tokenizers library has it.
-    About ``most`` bytes of text are encoded at a time: fewer take less of a
-    worker's memory and more time, and the pieces are the same.
+    About ``most`` bytes of text are encoded at a time, with caches in proportion:
+    fewer take less of a worker's memory and more time, and the pieces are the same.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -49,7 +49,7 @@ def pack(df: DataFrame, path: str, pattern: str, end_id: int = 1, id_col: str =
     def run(batches):
         from pyspark import TaskContext
 
-        own = codec(path, pattern, added)
+        own = codec(path, pattern, added, CACHE * most // BATCH_CHARS)
         part = TaskContext.get().partitionId()
         met = np.zeros(powers + 1, np.int64)  # pieces of each bucket so far
         for whole in batches:
@@ -78,6 +78,8 @@ def pack(df: DataFrame, path: str, pattern: str, end_id: int = 1, id_col: str =
                     [batch.column(0).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in made), packed_rows(whole_ids, stop), *(pa.array(x, t) for x, t in ((tokens[row], pa.int64()), (bucket, pa.int32()), (group, pa.int64())))],
                     ["id", "start", "length", "ids", "doc_tokens", "bucket", "batch_id"],
                 )
+                if most < BATCH_CHARS:
+                    pa.default_memory_pool().release_unused()
 
     kind = rows.schema["id"].dataType.simpleString()
     pieces = rows.mapInArrow(lean(run, keep=True), f"id {kind}, start long, length long, ids binary, doc_tokens long, bucket int, batch_id long")
