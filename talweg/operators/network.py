@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from talweg.operators.hydro import _cells, _id, edges
 from talweg.plans.graph import component_labels, cut, numbered, pointer_doubling
 from talweg.plans.grid import GridSpec
 
 REDUCERS = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "median": F.median, "std": F.stddev_pop, "var": F.var_pop}
+#: Points and legs of a tile that one task takes, about; pairs held at a time.
+POINTS, LEGS, HELD = 32_768, 131_072, 32_768
 
 
 def flow_labels(classes: DataFrame, direction: DataFrame) -> DataFrame:
@@ -147,34 +154,104 @@ def reach_attributes(vertices: DataFrame, layers: DataFrame, **stats: tuple[str,
     return vertices.join(layers, ["row", "col"], "left").groupBy("rid").agg(*aggs)
 
 
+def _inside(left: pa.Table, right: pa.Table, radius: float) -> pa.Table:
+    """(fid, station, x, y, length): length of the legs (x, y, x2, y2, n times) inside the circle around each point.
+
+    Points are taken by cells, so that only legs near a cell are tried. Legs that
+    pass through all circles of a cell have whole chords.
+    """
+    px, py = (left.column(c).to_numpy() for c in ("px", "py"))
+    total = np.zeros(len(px))
+    if len(px) and len(right):
+        ax, ay, bx, by, n = (right.column(c).to_numpy().astype(float) for c in ("x", "y", "x2", "y2", "n"))
+        x0, y0 = px.min(), py.min()
+        far = np.hypot(bx - ax, by - ay)
+        ux, uy = (bx - ax) / far, (by - ay) / far
+        # Of a point (x, y, 1): the place along each leg, and the distance from its line.
+        along = np.stack([ux, uy, (x0 - ax) * ux + (y0 - ay) * uy])
+        aside = np.stack([-uy, ux, (y0 - ay) * ux - (x0 - ax) * uy])
+        p = np.stack([px - x0, py - y0, np.ones(len(px))], axis=1)
+        cells = max(1, min(8, math.isqrt(len(p) // 64)))
+        edge = max(p[:, :2].max() / cells, 1e-300)
+        code = np.floor(p[:, 0] / edge) * (cells + 1) + np.floor(p[:, 1] / edge)
+        order = np.argsort(code, kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+            lo, hi = p[mine].min(axis=0), p[mine].max(axis=0)
+            wide = (hi - lo) / 2
+            s, d = (lo + wide) @ along, np.abs((lo + wide) @ aside)
+            reach = radius * (1 + 1e-6) + np.abs(ux) * wide[0] + np.abs(uy) * wide[1]
+            near = (d < radius * (1 + 1e-6) + np.abs(uy) * wide[0] + np.abs(ux) * wide[1]) & (s > -reach) & (s < far + reach)
+            whole = near & (s >= reach) & (s + reach <= far)
+            for legs in (np.flatnonzero(whole), np.flatnonzero(near & ~whole)):
+                if not len(legs):
+                    continue
+                u, v, length, times = along[:, legs], aside[:, legs], far[legs], n[legs]
+                ended = not whole[legs[0]]
+                step = max(1, HELD // len(legs))
+                for i in range(0, len(mine), step):
+                    some = mine[i : i + step]
+                    h = p[some] @ v
+                    np.multiply(h, h, out=h)
+                    np.subtract(radius * radius, h, out=h)
+                    np.sqrt(np.maximum(h, 0, out=h), out=h)
+                    if ended:
+                        t = p[some] @ u
+                        upto = np.minimum(t + h, length)
+                        np.maximum(np.subtract(t, h, out=t), 0, out=t)
+                        total[some] += np.maximum(np.subtract(upto, t, out=upto), 0, out=upto) @ times
+                    else:
+                        total[some] += 2 * (h @ times)
+    return pa.table({"fid": left.column("fid"), "station": left.column("station"), "x": px, "y": py, "length": total})
+
+
 def sinuosity(lines: DataFrame, sampling: float = 100.0) -> DataFrame:
     """(fid, station, x, y, value): points every ``sampling`` along lines (fid, seq, x, y), both ends included.
 
     The value is the length of the line inside the circle of half the sampling
-    around the point, over the sampling.
+    around the point, over the sampling.  Each leg makes its own points; points
+    and legs meet in tiles, by definition all that are near each other, and a
+    task passes on sums, not pairs.
     """
+    step, half = float(sampling), sampling / 2
     w = Window.partitionBy("fid").orderBy("seq")
-    legs = lines.withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("y").over(w)).where("x2 is not null")
-    legs = legs.withColumn("len", F.sqrt(F.pow(F.col("x2") - F.col("x"), F.lit(2)) + F.pow(F.col("y2") - F.col("y"), F.lit(2)))).where("len > 0")
-    legs = cut(legs.withColumn("from", F.coalesce(F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))))
-    whole = legs.groupBy("fid").agg(F.sum("len").alias("total"))
-    places = whole.select("fid", F.explode(F.array_union(F.transform(F.sequence(F.lit(0), F.floor(F.col("total") / sampling).cast("int")), lambda k: k * F.lit(float(sampling))), F.array("total"))).alias("station"))
-    on = legs.join(places, "fid").where((F.col("station") >= F.col("from")) & (F.col("station") <= F.col("from") + F.col("len")))
-    share = (F.col("station") - F.col("from")) / F.col("len")
-    points = on.groupBy("fid", "station").agg(F.min_by(F.struct((F.col("x") + (F.col("x2") - F.col("x")) * share).alias("px"), (F.col("y") + (F.col("y2") - F.col("y")) * share).alias("py")), "seq").alias("p")).select("fid", "station", "p.px", "p.py")
-    # A leg meets the stations of the buckets (as wide as the sampling) that its box, widened by the radius, covers.
-    half, bucket = sampling / 2, lambda v: F.floor(v / sampling)
-    points = cut(points.withColumn("bx", bucket(F.col("px"))).withColumn("by", bucket(F.col("py"))))
-    near = lambda a, b: F.explode(F.sequence(bucket(F.least(a, b) - half), bucket(F.greatest(a, b) + half)))
-    close = legs.select("fid", "x", "y", "x2", "y2", "len", near("x", "x2").alias("bx")).select("*", near("y", "y2").alias("by"))
-    # A leg inside the circle: roots of |a + t (b - a) - p|2 = r2, cut to 0..1.
-    r2 = (sampling / 2) ** 2
-    ux, uy, vx, vy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y"), F.col("x") - F.col("px"), F.col("y") - F.col("py")
-    a, b, c = ux * ux + uy * uy, ux * vx + uy * vy, vx * vx + vy * vy - r2
-    disc = b * b - a * c
-    root = F.sqrt(F.greatest(disc, F.lit(0.0)))
-    lo, hi = F.greatest((-b - root) / a, F.lit(0.0)), F.least((-b + root) / a, F.lit(1.0))
-    inside = F.when((disc > 0) & (hi > lo), (hi - lo) * F.col("len")).otherwise(F.lit(0.0))
-    return close.join(points, ["fid", "bx", "by"]).groupBy("fid", "station").agg(F.first("px").alias("x"), F.first("py").alias("y"), (F.sum(inside) / sampling).alias("value"))
-
-
+    x, y, x2, y2 = (F.col(c) for c in ("x", "y", "x2", "y2"))
+    legs = lines.where("fid is not null").select("fid", "seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    legs = legs.withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("y").over(w)).where("x2 is not null")
+    legs = legs.withColumn("len", F.sqrt(F.pow(x2 - x, F.lit(2)) + F.pow(y2 - y, F.lit(2)))).where("len > 0")
+    legs = legs.withColumn("from", F.coalesce(F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    legs = cut(legs.withColumn("last", F.lead("len").over(w).isNull()))
+    # A point where two legs meet belongs to the first.
+    start, end = F.col("from"), F.col("from") + F.col("len")
+    marks = F.transform(F.sequence(F.floor(start / step), F.floor(end / step) + 1), lambda k: k * F.lit(step))
+    marks = F.filter(marks, lambda v: ((v > start) | (start == 0)) & (v <= end))
+    marks = F.when(F.col("last"), F.array_union(marks, F.array(end))).otherwise(marks)
+    share = (F.col("station") - start) / F.col("len")
+    points = legs.select("*", F.explode(marks).alias("station")).select("fid", "station", (x + (x2 - x) * share).alias("px"), (y + (y2 - y) * share).alias("py"))
+    # A leg goes to the tiles within the radius of it: in each row of tiles those beside its part there.
+    tile, reach = 2 * step, half * (1 + 1e-6)
+    number = lambda v: F.floor(v / tile)
+    span = lambda a, b: F.explode(F.sequence(number(F.least(a, b) - reach), number(F.greatest(a, b) + reach)))
+    points = points.withColumn("bx", number(F.col("px"))).withColumn("by", number(F.col("py")))
+    a, b = (F.try_divide(F.col("by") * tile + v - y, y2 - y) for v in (-reach, tile + reach))
+    t0, t1 = F.greatest(F.least(a, b), F.lit(0.0)), F.least(F.greatest(a, b), F.lit(1.0))
+    near = legs.groupBy("fid", "x", "y", "x2", "y2").agg(F.count(F.lit(1)).alias("n")).withColumn("by", span(y, y2))
+    near = near.withColumn("bx", span(x + (x2 - x) * t0, x + (x2 - x) * t1))
+    # What is too much for a task is dealt in blocks, each of points with each of legs.
+    key = ["fid", "bx", "by"]
+    count = lambda df, name: df.groupBy(*key).agg(F.count(F.lit(1)).alias(name))
+    sizes = count(points, "p").join(count(near, "l"), key).withColumn("ps", F.ceil(F.col("p") / POINTS)).withColumn("ls", F.ceil(F.col("l") / LEGS))
+    sizes = cut(sizes)
+    pairs, blocks, most = sizes.agg(F.sum(F.col("p").cast("double") * F.col("l")), F.sum(F.col("ps") * F.col("ls")), F.max("ls")).first()
+    large = F.broadcast(sizes.where("ps > 1 or ls > 1").select(*key, "ps", "ls"))
+    ps, ls = F.coalesce("ps", F.lit(1)), F.coalesce("ls", F.lit(1))
+    block = lambda of, m: F.pmod(F.xxhash64(*of), m)
+    every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), m - 1))
+    points = points.join(large, key, "left").select(*key, "station", "px", "py", block(["station"], ps).alias("pb"), every(ls).alias("lb"))
+    near = near.join(large, key, "left").select(*[F.col(c).alias(c) for c in key], "x", "y", "x2", "y2", "n", block(["x", "y", "x2", "y2"], ls).alias("lb"), every(ps).alias("pb"))
+    # Tasks by their work, of which few bytes make much.
+    key, parts = [*key, "pb", "lb"], max(1, min(blocks or 1, math.ceil((pairs or 0) / 5e7 + (blocks or 0) / 100), 10_000))
+    schema = StructType([points.schema["fid"], *(StructField(c, DoubleType()) for c in ("station", "x", "y", "length"))])
+    got = points.repartition(parts, *key).groupBy(*key).cogroup(near.repartition(parts, *key).groupBy(*key)).applyInArrow(lambda p, q: _inside(p, q, half), schema)
+    if (most or 1) > 1:
+        got = got.groupBy("fid", "station").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.sum("length").alias("length"))
+    return got.select("fid", "station", "x", "y", (F.col("length") / sampling).alias("value"))
