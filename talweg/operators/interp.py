@@ -27,6 +27,8 @@ from talweg.plans.graph import cut
 SMALL = 20_000
 #: Pairs held at a time.
 HELD = 4_000_000
+#: Pairs that a processor's cache holds.
+CACHED = 32_768
 Fold = Callable[[pa.Table, pa.Table, np.ndarray, np.ndarray], pa.Table]
 
 
@@ -236,34 +238,46 @@ def idw(pred: DataFrame, obs: DataFrame, k: int = 3) -> DataFrame:
 def full_idw(pred: DataFrame, obs: DataFrame) -> DataFrame:
     """(pid, value): inverse squared distances of all observations.
 
-    Every block of observations meets every block of predictions, by
-    definition; a task passes on sums, not pairs.  Of observations at the very
-    point that with the smallest oid gives its value.
+    Points at one place share a value, and observations at one place a weight, so
+    places meet, each once: every block of observed ones with every block of
+    others, by definition; a task passes on sums, not pairs.  Of observations at
+    the very point that with the smallest oid gives its value.
     """
-    n, m = obs.count(), pred.count()
-    blocks, groups = max(1, math.ceil(n / 8192)), max(1, math.ceil(m / 8192))
-    o = obs.select("oid", F.col("ox").cast("double").alias("ox"), F.col("oy").cast("double").alias("oy"), F.col("z").cast("double").alias("z"), F.pmod(F.xxhash64("oid"), F.lit(blocks)).cast("int").alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
-    p = pred.select("pid", F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py"), F.pmod(F.xxhash64("px", "py"), F.lit(groups)).cast("int").alias("_g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    kinds = {f.name: f.dataType for f in (*pred.schema.fields, *obs.schema.fields)}
-    schema = StructType([StructField("pid", kinds["pid"]), *_doubles("zw", "w"), StructField("oid", kinds["oid"]), *_doubles("z")])
+    of, to = ([F.col(c).cast("double").alias(c) for c in names] for names in (("ox", "oy"), ("px", "py")))
+    o = obs.select("oid", *of, F.col("z").cast("double").alias("z")).where("ox is not null and oy is not null")
+    o = cut(o.groupBy("ox", "oy").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("z").alias("zs"), F.min(F.struct("oid", "z")).alias("first")))
+    pred = pred.select("pid", *to)
+    p = cut(pred.where("px is not null and py is not null").select("px", "py").distinct())
+    blocks, groups = max(1, math.ceil(o.count() / 8192)), max(1, math.ceil(p.count() / 8192))
+    o = o.select("ox", "oy", "n", "zs", "first.oid", "first.z", F.pmod(F.xxhash64("ox", "oy"), F.lit(blocks)).cast("int").alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
+    p = p.select("px", "py", F.pmod(F.xxhash64("px", "py"), F.lit(groups)).cast("int").alias("_g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    schema = StructType([*_doubles("px", "py", "zw", "w"), StructField("oid", obs.schema["oid"].dataType), *_doubles("z")])
 
     def sums(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = right.take(pc.sort_indices(right.column("oid")))
-        ox, oy, z = (own.column(c).to_numpy() for c in ("ox", "oy", "z"))
-        zw, w, hit = np.zeros(len(left)), np.zeros(len(left)), np.full(len(left), -1)
-        step = max(1, HELD // max(1, len(own)))
-        for i in range(0, len(left), step) if len(own) else ():
-            x, y = (left.column(c).to_numpy()[i : i + step, None] for c in ("px", "py"))
-            d2 = (x - ox) ** 2 + (y - oy) ** 2
-            same = d2 == 0
-            hit[i : i + step] = np.where(same.any(axis=1), same.argmax(axis=1), -1)
-            inverse = 1 / np.where(same, np.inf, d2)
-            zw[i : i + step], w[i : i + step] = inverse @ z, inverse.sum(axis=1)
+        ox, oy, n = (right.column(c).to_numpy() for c in ("ox", "oy", "n"))
+        x, y = (left.column(c).to_numpy() for c in ("px", "py"))
+        weights = np.stack([pc.fill_null(right.column("zs"), 0.0).to_numpy(), n], axis=1)
+        got, hit = np.zeros((len(left), 2)), np.full(len(left), -1)
+        step = max(1, CACHED // max(1, len(right)))
+        with np.errstate(all="ignore"):
+            for i in range(0, len(left), step) if len(right) else ():
+                d2, dy = x[i : i + step, None] - ox, y[i : i + step, None] - oy
+                np.multiply(d2, d2, out=d2)
+                np.add(d2, np.multiply(dy, dy, out=dy), out=d2)
+                if not d2.min() > 0:
+                    same = d2 == 0
+                    hit[i : i + step] = np.where(same.any(axis=1), same.argmax(axis=1), -1)
+                    d2[same] = np.inf
+                got[i : i + step] = np.divide(1.0, d2, out=d2) @ weights
         at = pa.array(hit, mask=hit < 0)
-        return pa.table({"pid": left.column("pid"), "zw": zw, "w": w, "oid": own.column("oid").take(at), "z": own.column("z").take(at)})
-
-    got = p.groupBy("_g", "_b").cogroup(o.groupBy("_g", "_b")).applyInArrow(sums, schema)
-    out = got.groupBy("pid").agg(F.sum("zw").alias("zw"), F.sum("w").alias("w"), F.min(F.when(F.col("oid").isNotNull(), F.struct("oid", "z"))).alias("hit"))
+        known = right.column("zs").null_count < len(right)
+        return pa.table({"px": x, "py": y, "zw": pa.array(got[:, 0], mask=np.full(len(left), not known)), "w": got[:, 1], "oid": right.column("oid").take(at), "z": right.column("z").take(at)})
+
+    keys, parts = ("_g", "_b"), min(10_000, math.ceil(groups * blocks / 4))
+    got = p.repartition(parts, *keys).groupBy(*keys).cogroup(o.repartition(parts, *keys).groupBy(*keys)).applyInArrow(sums, schema)
+    total = lambda df, key, hit: df.groupBy(*key).agg(F.sum("zw").alias("zw"), F.sum("w").alias("w"), F.min(hit).alias("hit"))
+    places = total(got, ("px", "py"), F.when(F.col("oid").isNotNull(), F.struct("oid", "z")))
+    out = total(pred.join(places, ["px", "py"], "left"), ("pid",), F.col("hit"))
     return out.select("pid", F.coalesce("hit.z", F.try_divide("zw", "w")).alias("value"))
 
 

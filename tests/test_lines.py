@@ -1,13 +1,14 @@
-"""Sinuosity along lines, against brute force."""
+"""Sinuosity along lines and weights of all observations, against brute force."""
 
 import math
+import re
 import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talweg.operators import network
+from talweg.operators import interp, network
 
 
 def brute(xy, sampling, picked=None):
@@ -61,3 +62,28 @@ def test_sinuosity_of_a_long_line(spark):
     want = brute(np.stack([i * 7919 % 101 * 3, i * 104729 % 103 * 3], axis=1), 100.0, range(0, 50_000, 5_000))
     assert len(want) == 10 and all(min((abs(s - m), v) for s, v in got.items())[1] == pytest.approx(v[2], rel=1e-7) for m, v in want.items())
     assert math.isclose(max(got), sum(math.hypot((b * 7919 % 101 - a * 7919 % 101) * 3, (b * 104729 % 103 - a * 104729 % 103) * 3) for a, b in zip(i[:-1].tolist(), i[1:].tolist(), strict=True)), rel_tol=1e-9)
+
+
+def test_full_idw_meets_each_place_once(spark):
+    """Repeated places cost nothing, and NULLs count as in SQL's sum(z / d2) / sum(1 / d2)."""
+    rng = np.random.default_rng(5)
+    xy, z = rng.uniform(0, 9, (30, 2)), rng.uniform(-5, 5, 30)
+    rows = [(i, float(x), float(y), float(v)) for i, ((x, y), v) in enumerate(zip(xy, z, strict=True))]
+    rows += [(30, *rows[3][1:3], 7.0), (31, *rows[4][1:3], None), (32, None, 1.0, 4.0), (33, 2.5, 2.5, -1.0), (34, 2.5, 2.5, 8.0)]
+    obs = spark.createDataFrame(rows, "oid int, ox double, oy double, z double").repartition(3)
+    spots = [(1.0, 2.0), (2.5, 2.5), (20.0, 3.0)]
+    k = F.col("id")
+    pred = spark.range(60_000).select(k.alias("pid"), *[F.element_at(F.array(*[F.lit(s[i]) for s in spots]), (k % 3 + 1).cast("int")).alias(c) for i, c in enumerate(("px", "py"))])
+    pred = pred.unionByName(spark.createDataFrame([(60_000, None, 1.0)], "pid long, px double, py double"))
+    want = []
+    for x, y in spots:
+        near = [(v, 1 / ((x - a) ** 2 + (y - b) ** 2)) for _, a, b, v in rows if a is not None and (a, b) != (x, y)]
+        want.append(sum(v * w for v, w in near if v is not None) / sum(w for _, w in near))
+    want[1] = -1.0  # of the smaller oid at the very point
+    out = interp.full_idw(pred, obs)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert {int(n) for n in re.findall(r"pmod\(xxhash64\(px[^)]*\), (?:cast\()?(\d+)", plan)} == {1}  # one block for three places, not eight for 60,000 points
+    got = {r["pid"]: r["value"] for r in out.collect()}
+    assert len(got) == 60_001 and got.pop(60_000) is None
+    assert all(math.isclose(v, want[i % 3], rel_tol=1e-9) for i, v in got.items())
+    assert interp.full_idw(pred.limit(3), obs.limit(0)).where("value is not null").isEmpty()
